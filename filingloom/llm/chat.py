@@ -19,6 +19,8 @@ root and is left out, as are its branches; an empty table gives no rows; further
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,20 +40,29 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _jump_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Tables (tree, node, up) for 1, 2, 4, ... replies, and each node's root, depth and branch score."""
-    up = materialise(nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("hops"), F.col("score").alias("sum")), "chat-jump")
-    tables, n = [up], up.count()
-    while not up.where(F.col("up").isNotNull()).isEmpty():
-        far = up.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("sum").alias("sum2"))
-        joined = up.join(far, up["tree"].eqNullSafe(F.col("t2")) & (up["up"] == F.col("n2")), "left")
-        up = materialise(
-            joined.select("tree", "node", F.col("up2").alias("up"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum")), "chat-jump"
-        )
-        if 1 << len(tables) > n:  # what still points up is on a cycle
-            break
-        tables.append(up)
-    return tables, up
+    """Tables (tree, node, up, sum) for 1, 2, 4, ... replies, and (tree, node, sum) of each node's whole branch.
+
+    A table holds only the nodes that lie as deep, so the rounds shrink; the others are done, and their sums complete
+    those of the nodes that point to them.
+    """
+    nodes = materialise(nodes, "chat-nodes")
+    n = nodes.count()
+    done = [nodes.where(F.col("parent").isNull()).select("tree", "node", F.col("score").alias("sum"))]
+    jump = nodes.where(F.col("parent").isNotNull()).select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("sum"))
+    tables = []
+    while not jump.isEmpty() and 1 << len(tables) <= n:  # what still points up then is on a cycle
+        tables.append(jump)
+        far = jump.unionByName(_union(done), allowMissingColumns=True).select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("sum").alias("sum2"))
+        joined = jump.join(far, jump["tree"].eqNullSafe(F.col("t2")) & (jump["up"] == F.col("n2"))).select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"))
+        joined = materialise(joined, "chat-jump")
+        jump = joined.where(F.col("up").isNotNull())
+        done.append(joined.where(F.col("up").isNull()).drop("up"))
+    return tables, _union(done)
 
 
 def choose_paths(messages: DataFrame, top_k: int | None = None) -> DataFrame:
@@ -63,17 +74,19 @@ def choose_paths(messages: DataFrame, top_k: int | None = None) -> DataFrame:
     nodes = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     nodes = nodes.join(known, nodes["tree"].eqNullSafe(F.col("t2")) & (nodes["parent"] == F.col("n2")), "left").select("tree", "node", F.col("n2").alias("parent"), "score")
     tables, whole = _jump_tables(nodes)
-    answered = tables[0].select(F.col("tree").alias("t2"), F.col("up").alias("n2")).where(F.col("n2").isNotNull()).distinct()
-    leaves = whole.where(F.col("up").isNull()).join(answered, whole["tree"].eqNullSafe(F.col("t2")) & (whole["node"] == F.col("n2")), "left_anti")
+    leaves = whole
+    if tables:
+        answered = tables[0].select(F.col("tree").alias("t2"), F.col("up").alias("n2")).distinct()
+        leaves = whole.join(answered, whole["tree"].eqNullSafe(F.col("t2")) & (whole["node"] == F.col("n2")), "left_anti")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("sum"), "node")))
     if top_k is not None:
         ranked = ranked.where(F.col("rank") <= top_k)
-    paths = materialise(ranked.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("offset")), "chat-path")
+    parts = [materialise(ranked.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("offset")), "chat-path")]
     for k in range(len(tables) - 1, -1, -1):
-        jump = tables[k].where(F.col("up").isNotNull()).select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "up")
+        paths, jump = _union(parts), tables[k].select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "up")
         further = paths.join(jump, paths["tree"].eqNullSafe(F.col("t2")) & (paths["node"] == F.col("n2"))).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("offset") + (1 << k)).alias("offset"))
-        paths = materialise(paths.unionByName(further), "chat-path")
-    return paths
+        parts.append(materialise(further, "chat-path"))
+    return _union(parts)
 
 
 def format_paths(messages: DataFrame, paths: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
