@@ -111,3 +111,21 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def binary_rows(batch, *columns: str) -> Iterator[tuple]:
     """The rows of an Arrow batch as Python tuples."""
     yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int, seed: int = 0) -> DataFrame:
+    """At most ``limit`` labelled documents, in the order of a hash of their id: doc_id, text, y, at (that hash).
+
+    train: which rows of ``labels`` may be used. Several labels of an id count as their largest; several texts of an
+    id likewise, so repeated rows cannot pass the limit. What is broadcast are the ids, at most ``limit``.
+    """
+    at = F.xxhash64("doc_id", F.lit(seed))
+    some = labels.where(train & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    some = some.withColumn("at", at).orderBy("at", "doc_id").limit(limit)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"), F.max("at").alias("at"))
+
+
+def crc_mod(n: int, id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo ``n``."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
