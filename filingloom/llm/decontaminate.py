@@ -120,14 +120,14 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
         yield list(block.items())
 
 
-def _scanner(windows: list, columns: list[str], keep_clean: bool):
+def _scanner(windows: list, text_col: str, keep_clean: bool):
     key = hashlib.md5(repr(windows).encode()).digest()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(key, windows)
         for batch in batches:
             n_words, spans, items = [], [], []
-            for data in batch.column("scan_bytes").to_pylist():
+            for data in batch.column(text_col).cast(pa.binary()).to_pylist():
                 words = words_of(data)
                 found, ids = matcher.scan(words)
                 n_words.append(len(words))
@@ -135,7 +135,7 @@ def _scanner(windows: list, columns: list[str], keep_clean: bool):
                 items.append(sorted(ids))
             if keep_clean:
                 clean = pa.array([not s for s in spans], pa.bool_())
-                yield batch.select(columns).filter(clean)
+                yield batch.filter(clean)
                 continue
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
@@ -152,13 +152,13 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     schema = f"doc_id {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, item_ids array<string>"
     blocks = list(benchmark_windows(benchmark)) or [[]]
     if len(blocks) == 1:
-        return rows.mapInArrow(_scanner(blocks[0], [], False), schema)
+        return rows.mapInArrow(_scanner(blocks[0], "scan_bytes", False), schema)
     # Equal rows of a document find the same, so the blocks' results meet by id and row digest.
     rows = rows.withColumn("doc_id", F.struct("doc_id", F.sha2(F.col("scan_bytes"), 256).alias("digest")))
     wide = schema.replace(f"doc_id {kind}", f"doc_id struct<doc_id:{kind},digest:string>", 1)
     found = None
     for i, block in enumerate(blocks):
-        part = rows.mapInArrow(_scanner(block, [], False), wide).withColumn("block", F.lit(i))
+        part = rows.mapInArrow(_scanner(block, "scan_bytes", False), wide).withColumn("block", F.lit(i))
         found = part if found is None else found.unionByName(part)
     by_doc = found.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), (F.count(F.lit(1)) / len(blocks)).cast("int").alias("copies")
@@ -182,8 +182,7 @@ def _union(spans: str):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs, with all their columns."""
     for block in benchmark_windows(benchmark):
-        columns = docs.columns
-        docs = docs.withColumn("scan_bytes", F.col(text_col).cast("binary")).mapInArrow(_scanner(block, columns, True), docs.schema)
+        docs = docs.mapInArrow(_scanner(block, text_col, True), docs.schema)
     return docs
 
 

@@ -30,9 +30,10 @@ def _hashes(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("line"), key, F.length(key)).alias("b"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, text (what is kept), n_lines, n_dropped."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("lines"))
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_row: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, text (what is kept), n_lines, n_dropped; with keep_row also row, all its columns."""
+    whole = [F.struct(*docs.columns).alias("row")] if keep_row else []
+    lines = docs.select(*whole, F.col(id_col).alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("lines"))
     keys = lines.select("doc_id", F.explode(F.array_distinct(F.transform("lines", line_key))).alias("key"))
     keys = keys.where(F.length("key") >= min_chars).select("doc_id", _hashes(F.col("key")).alias("h"))
     pairs = keys.select("doc_id", "h.a", "h.b").distinct()
@@ -42,8 +43,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda line: ~((F.length(line_key(line)) >= min_chars) & F.array_contains(F.col("drops"), _hashes(line_key(line)))))
     )
-    return joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept")).select(
-        "doc_id", F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped")
+    whole = ["row"] if keep_row else []
+    return joined.select(*whole, "doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept")).select(
+        *whole, "doc_id", F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped")
     )
 
 

@@ -56,11 +56,12 @@ def _log_factorial(i: Column) -> Column:
 def mix_sources(
     docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
-    """All columns of ``docs`` for each copy, with mix_copy (from 1), mix_copies and mix_key before them.
+    """All columns of ``docs`` for each copy, with mix_copy (from 1), mix_copies and mix_key before them (in place of such columns of ``docs``).
 
     ``weights``: target shares by source, scaled to a sum of 1; sources that it lacks get none. None: equal shares.
     ``epochs``: characters of the mixture over characters of the input.
     """
+    docs = docs.drop("mix_source", "mix_rate", "mix_copy", "mix_copies", "mix_key")
     chars = F.length(F.coalesce(F.col(text_col), F.lit("")))
     stats = docs.groupBy(F.col(source_col).alias("mix_source")).agg(F.sum(chars).alias("chars"), F.count(F.lit(1)).alias("rows"))
     if weights is None:
