@@ -39,6 +39,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
 LEET = str.maketrans("013457@$!|", "oieastasil")
 STRETCHED = re.compile(r"(.)\1\1")
 EDGES = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+SENTENCE = ".,;:!?\"'()[]"
 FEATURES = (
     "seed_density", "word_density", "prefix_density", "seed_hits", "word_hits", "prefix_hits", "strong_density", "near_second_person", "second_person_density",
     "capital_share", "exclaim_share", "punctuation_share", "leet_rate", "stretched_rate", "hidden_hits", "log_words",
@@ -70,7 +71,7 @@ class _Flags(dict):
             flags |= STRETCH
             if not flags & (SEED | WORD | PREFIX) and self._hits(re.sub(r"(.)\1+", r"\1", bare)) & (SEED | WORD):
                 flags |= HIDDEN
-        plain = low.translate(LEET).strip(EDGES)
+        plain = low.strip(SENTENCE).translate(LEET).strip(EDGES)
         if plain != bare and any(c.isalpha() for c in bare) and any(not c.isalpha() for c in bare):
             flags |= LEETED
             if not flags & (SEED | WORD | PREFIX) and self._hits(plain) & (SEED | WORD):
