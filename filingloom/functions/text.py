@@ -133,9 +133,9 @@ def looks_like_title(c: Column) -> Column:
 
 
 def looks_like_person(c: Column) -> Column:
-    s = strip(F.regexp_replace(F.regexp_replace(c, FOOTNOTE_TAIL, ""), rf"(?i){CREDENTIAL_TAIL}", ""))
+    s = strip(F.regexp_replace(F.regexp_replace(c, f"(?U){FOOTNOTE_TAIL}", ""), f"(?iU){CREDENTIAL_TAIL}", ""))
     words = F.size(F.split(squeeze(s), " "))
-    return (F.length(s) >= 3) & ~looks_like_title(s) & words.between(2, 6) & s.rlike(NAME)
+    return (F.length(s) >= 3) & ~looks_like_title(s) & words.between(2, 6) & s.rlike(f"(?U){NAME}")
 
 
 def looks_like_group(c: Column) -> Column:
@@ -145,11 +145,11 @@ def looks_like_group(c: Column) -> Column:
 
 def looks_like_address(c: Column) -> Column:
     s = strip(c)
-    return s.rlike(r"^\d{1,6}\s+[A-Za-z]") | s.rlike(rf"(?i)^{ADDRESS}")
+    return s.rlike(r"(?U)^\d{1,6}\s+[A-Za-z]") | s.rlike(f"(?iU)^{ADDRESS}")
 
 
 def looks_like_prose(c: Column) -> Column:
-    return c.rlike(rf"(?i){PROSE}")
+    return c.rlike(f"(?iU){PROSE}")
 
 
 def count_tokens(text: Column, tokens: tuple[str, ...]) -> Column:
