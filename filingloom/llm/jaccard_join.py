@@ -12,10 +12,12 @@ How it keeps together at scale:
 * equal sets are one node, found by a digest before anything else, so thousands of copies cost one;
 * a first wave meets at the first ``FIRST`` shingles of each prefix and joins most groups; the second takes the whole
   prefix but only shingles at which different components still meet. Shingles with the very same members count once;
+* in the second wave, parity bits of the sets go to the meetings first; they bound the overlap from above and leave the
+  few pairs whose sets are then walked;
 * the sketch has a fixed size (256 KB as levels); frequent shingles fall to the end of the order, out of the prefixes;
 * a shingle at which more than ``GROUP`` nodes meet is dealt to blocks: in the first wave at random, in the second as
   all pairs of blocks, so that no task holds more than two blocks and no link is lost;
-* texts travel compressed and only for nodes that meet others.
+* texts travel compressed and only for nodes that may link.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; rows that share a doc_id are one
 node with all their texts; a null doc_id has no component; ties go to the smallest doc_id; an empty table gives no rows;
@@ -83,6 +85,26 @@ def needed(n: int, m: int, percent: int) -> int:
     return (percent * (n + m) + 99 + percent) // (100 + percent)
 
 
+def mark_of(tokens: np.ndarray) -> bytes:
+    """Parity bits of a set, two and more for each shingle: the bits in which two marks differ are no more than the
+    shingles in which the sets do."""
+    bits = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    return np.packbits((np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(a: tuple[int, int, int], b: tuple[int, int, int], percent: int) -> bool:
+    """Whether sets (size, mark, bits) may be as similar as wanted: their marks rule nothing out that is."""
+    n, x, p = a
+    m, y, q = b
+    while p > q:
+        p >>= 1
+        x = (x >> p) ^ (x & ((1 << p) - 1))
+    while q > p:
+        q >>= 1
+        y = (y >> q) ^ (y & ((1 << q) - 1))
+    return (x ^ y).bit_count() <= n + m - 2 * needed(n, m, percent)
+
+
 class PrefixTree:
     """Ordered sets as paths; a node holds a run of numbers, the sets that end with it, and the span of sizes below."""
 
@@ -221,12 +243,12 @@ def _levels(strips: DataFrame) -> np.ndarray:
 
 
 def _prefixes(k: int, percent: int, levels: np.ndarray):
-    """doc_id, set digest, prefix and compressed text; a task leaves out sets that it has given lately."""
+    """doc_id, set digest and size, prefix, mark and compressed text; a task leaves out sets that it has given lately."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, pack, lately = RollingHash(), zstandard.ZstdCompressor(level=3), OrderedDict()
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: list[list] = [[] for _ in range(6)]
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 text = normalised(data)
                 tokens = shingles(text, k, hasher)
@@ -238,9 +260,11 @@ def _prefixes(k: int, percent: int, levels: np.ndarray):
                 lately[sid] = None
                 if len(lately) > 50_000:
                     lately.popitem(last=False)
-                for column, value in zip(out, (doc_id, sid, ordered(tokens, levels)[: prefix_size(len(tokens), percent)], pack.compress(text)), strict=True):
+                first = ordered(tokens, levels)[: prefix_size(len(tokens), percent)]
+                for column, value in zip(out, (doc_id, sid, len(tokens), first, mark_of(tokens), pack.compress(text)), strict=True):
                     column.append(value)
-            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], names=["node", "sid", "prefix", "body"])
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["node", "sid", "n", "prefix", "mark", "body"])
 
     return run
 
@@ -300,6 +324,47 @@ def _walk(k: int, percent: int, levels: np.ndarray):
     return run
 
 
+def _pairs(percent: int):
+    """Pairs of a meeting's members, of different components, whose sizes and marks allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, int]] = set()
+
+        def pairs(members: list) -> list[tuple[int, int]]:
+            members.sort()
+            out = []
+            for i, (n, node, comp, x, bits) in enumerate(members):
+                most = 100 * n // percent
+                for m, other, elsewhere, y, more in members[i + 1 :] if i + 1 < len(members) else ():
+                    if m > most:
+                        break
+                    if comp != elsewhere and may_link((n, x, bits), (m, y, more), percent):
+                        pair = (min(node, other), max(node, other))
+                        if pair not in given:
+                            if len(given) > 500_000:
+                                given.clear()
+                            given.add(pair)
+                            out.append(pair)
+            return out
+
+        def give(found: list) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+        key, members, found = None, [], []
+        for batch in batches:
+            for token, block, node, comp, n, mark in zip(*(batch.column(c).to_pylist() for c in ("token", "block", "node", "comp", "n", "mark")), strict=True):
+                if (token, block) != key:
+                    found += pairs(members)
+                    key, members = (token, block), []
+                members.append((n, node, comp, int.from_bytes(mark, "little"), 8 * len(mark)))
+            if len(found) > 10_000:
+                yield give(found)
+                found = []
+        yield give(found + pairs(members))
+
+    return run
+
+
 def _one_of_equal(meetings: DataFrame) -> DataFrame:
     """meetings (token, node, comp) without tokens that have one component only or the same members as another; size added."""
     mark = F.xxhash64("node", F.lit(1))
@@ -308,21 +373,27 @@ def _one_of_equal(meetings: DataFrame) -> DataFrame:
     return meetings.join(kept, "token")
 
 
-def _links(meetings: DataFrame, sets: DataFrame, walk, pairs_of_blocks: bool) -> DataFrame:
-    """Verified links among the members of each meeting (token, node, comp)."""
+def _blocks(meetings: DataFrame, pairs: bool) -> DataFrame:
+    """(token, block, node, comp): a meeting in blocks, at random or, where all pairs are wanted, as pairs of blocks."""
     meetings = _one_of_equal(meetings)
-    blocks = F.ceil(F.col("size") / GROUP).cast("int")
-    own = F.pmod(F.xxhash64("node", "token"), blocks).cast("int")
-    if pairs_of_blocks:
-        each = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.least(own, other).cast("long") * blocks + F.greatest(own, other)))
-        meetings = meetings.select("token", "node", "comp", F.when(blocks == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.least(own, o).cast("long") * blocks + F.greatest(own, o))).alias("blocks"))
-        meetings = meetings.withColumn("block", F.explode("blocks")).drop("blocks")
-    else:
-        meetings = meetings.select("token", "node", "comp", own.cast("long").alias("block"))
-    meetings = materialise(meetings, "jaccard-meetings")
-    bodies = sets.select("node", "body").join(meetings.select("node").distinct(), "node", "left_semi")
-    rows = meetings.join(bodies, "node").repartition("token", "block").sortWithinPartitions("token", "block", "node")
-    return materialise(rows.select("token", "block", "node", "comp", "body").mapInArrow(walk, "a bigint, b bigint"), "jaccard-links")
+    n = F.ceil(F.col("size") / GROUP).cast("int")
+    own = F.pmod(F.xxhash64("node", "token"), n).cast("int")
+    if not pairs:
+        return meetings.select("token", own.cast("long").alias("block"), "node", "comp")
+    both = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.least(own, o).cast("long") * n + F.greatest(own, o))
+    return meetings.select("token", F.explode(F.when(n == 1, F.array(F.lit(0).cast("long"))).otherwise(both)).alias("block"), "node", "comp")
+
+
+def _dealt(meetings: DataFrame, given: DataFrame, *columns: str) -> DataFrame:
+    """Meetings with columns of their nodes, each meeting in one task and in order."""
+    own = given.select("node", *columns).join(meetings.select("node").distinct(), "node", "left_semi")
+    return meetings.join(own, "node").select("token", "block", "node", "comp", *columns).repartition("token", "block").sortWithinPartitions("token", "block", "node")
+
+
+def _links(meetings: DataFrame, given: DataFrame, walk, pairs: bool) -> DataFrame:
+    """Verified links among the members of each meeting (token, node, comp)."""
+    meetings = materialise(_blocks(meetings, pairs), "jaccard-meetings")
+    return materialise(_dealt(meetings, given, "body").mapInArrow(walk, "a bigint, b bigint"), "jaccard-links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -332,7 +403,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     levels = _levels(survey.where(F.col("strip").isNotNull()).select("strip", "counts"))
     named = survey.where(F.col("strip").isNull()).select("doc_id", "n", "sid")
 
-    given = materialise(rows.mapInArrow(_prefixes(k, percent, levels), "node bigint, sid binary, prefix array<bigint>, body binary"), "jaccard-prefixes")
+    given = materialise(rows.mapInArrow(_prefixes(k, percent, levels), "node bigint, sid binary, n bigint, prefix array<bigint>, mark binary, body binary"), "jaccard-prefixes")
     nodes = given.groupBy("sid").agg(F.min("node").alias("node"))
     sets = given.join(nodes, ["sid", "node"])
     walk = _walk(k, percent, levels)
@@ -343,7 +414,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     every = sets.select("node", "prefix").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.explode("prefix").alias("token"))
     met = every.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where(F.col("c1") != F.col("c2")).select("token")
     second = materialise(every.join(met, "token").distinct(), "jaccard-second")
-    links = links.unionByName(_links(second, given, walk, True))
+    meetings = materialise(_blocks(second, True), "jaccard-meetings")
+    pairs = materialise(_dealt(meetings, given, "n", "mark").mapInArrow(_pairs(percent), "a bigint, b bigint").distinct(), "jaccard-pairs")
+    # Those that may link with a node meet at it.
+    third = pairs.select(F.col("a").alias("token"), F.col("b").alias("node")).unionByName(pairs.select(F.col("a").alias("token"), F.col("a").alias("node")).distinct())
+    third = third.join(labels, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
+    links = links.unionByName(_links(third, given, walk, True))
     labels = components(links)
 
     # A set's node need not be its smallest document, nor the component's label.
