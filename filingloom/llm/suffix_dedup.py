@@ -246,7 +246,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long_enough = rows.where(F.octet_length("data") >= match)
     found = long_enough.mapInArrow(_survey(match, spread), f"anchor bigint, digest bigint, doc_id {kind}, tag int, first bigint, more smallint")
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("d1"), F.max("digest").alias("d2"))
-    anchors = anchors.where(F.col("n") > 1).select("anchor", (F.col("d1") == F.col("d2")).alias("alike"))
+    # Written, so that the join below does not share the aggregate's partitioning and a hot anchor's rows can be split.
+    anchors = materialise(anchors.where(F.col("n") > 1).select("anchor", (F.col("d1") == F.col("d2")).alias("alike")), "suffix-anchors")
     met = materialise(found.join(anchors, "anchor"), "suffix-runs")
     end = F.col("first") + F.col("more") + match
     spans = met.where("alike").select("doc_id", "tag", F.col("first").alias("start"), end.alias("end"))
