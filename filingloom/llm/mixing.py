@@ -7,7 +7,8 @@ dealt out anew by a hash of id and copy, then sorted by it: a global shuffle wit
 functions only.
 
 The statistics are one partial sum for each source and task, so a source with a third of all rows costs nothing more.
-The join with them has no hint: AQE broadcasts them when their measured size allows and splits a hot source otherwise.
+They are written before the join, which has no hint: Spark broadcasts them when their measured size allows, and otherwise
+sorts and merges, splitting a hot source.
 
 Defined results: a null source is a source of its own; null text counts as empty; sources without characters get rate 0
 unless every text is empty, when rows are counted in place of characters; repeated rows of one id share their count and
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import table
+from filingloom.llm.common import materialise, table
 
 #: Hash digits of the uniform number: 13 hex digits are 52 bits.
 DIGITS = 13
@@ -67,7 +68,7 @@ def mix_sources(
     if weights is None:
         stats = stats.withColumn("weight", F.lit(1.0))
     else:
-        named = stats.sparkSession.createDataFrame(list(weights.items()), "name string, weight double")
+        named = stats.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, weight double")
         stats = stats.join(named, F.col("mix_source") == F.col("name"), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     totals = stats.agg(F.sum("chars").alias("all_chars"), F.sum("rows").alias("all_rows"))
     # One row: the totals of the sources.
@@ -77,6 +78,7 @@ def mix_sources(
     stats = stats.select("mix_source", size.alias("size"), all_size.alias("all_size"), F.when(size > 0, F.col("weight")).otherwise(0.0).alias("weight"))
     usable = stats.agg(F.sum("weight").alias("all_weight"))
     rates = stats.join(F.broadcast(usable)).select("mix_source", F.when(F.col("weight") > 0, F.col("weight") / F.col("all_weight") * F.col("all_size") * float(epochs) / F.col("size")).otherwise(0.0).alias("mix_rate"))
+    rates = materialise(rates, "mix-rates")  # a row for each source, of known size: no need to shuffle texts to find out
     drawn = docs.join(rates, docs[source_col].eqNullSafe(F.col("mix_source"))).withColumn("mix_copies", poisson_inverse(uniform(F.lit(seed), docs[id_col]), F.col("mix_rate")))
     copies = drawn.where(F.col("mix_copies") > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
     copies = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), docs[id_col], F.col("mix_copy")))
