@@ -631,3 +631,61 @@ SELECT user_id, min(t) AS start_us, count(*) AS n FROM (SELECT *, sum(fresh) OVE
 def session_windows(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "12 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return rows.select("user_id", F.unix_micros(F.col("w.start").cast("timestamp")).alias("start_us"), "n")
+
+
+# --- documents as a viewer, a cache and a client see them
+
+
+@query("""
+SELECT item_id AS id, contains(lower(text), 'beneficial owner') OR contains(lower(text), 'percent of class') OR contains(lower(text), 'beneficially owned') AS evidence FROM (
+  SELECT item_id, CASE WHEN item_id % 2 = 0 THEN text || ' Percent of CLASS' ELSE text END AS text FROM benchmark)""")
+def table_evidence(spark, sf_dir):
+    text = F.when(F.col("item_id") % 2 == 0, F.concat("text", F.lit(" Percent of CLASS"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), S.contains_evidence(text, "beneficial_ownership").alias("evidence"))
+
+
+@query(r"""
+SELECT page_id, regexp_matches(left(lower(html), 8192), '<html|<!doctype html|<body|<div|<font|<span|<p[\s>]|<t[dr][\s>]') AS is_html, left(sha256(html), 16) AS hash FROM pages""")
+def page_kinds(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", S.looks_like_html(F.col("html")).alias("is_html"), S.content_hash(F.col("html")).alias("hash"))
+
+
+@query("""
+SELECT o_orderkey, 'C' || o_custkey || '/DEF_14A/' || o_orderdate::DATE || '_DEF_14A_t' || o_orderkey || '.htm' AS path FROM orders""")
+def cache_paths(spark, sf_dir):
+    path = S.cache_path(F.concat(F.lit("c"), "o_custkey"), F.lit("DEF 14A"), F.to_date("o_orderdate"), F.concat(F.lit("t"), "o_orderkey"), F.lit("htm"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", path.alias("path"))
+
+
+RETRIES = [(429, 0, None, 1.0), (503, 2, None, 4.0), (403, 1, "7", 7.0), (500, 4, None, None), (404, 0, None, None), (200, 0, None, None), (429, 3, "soon", 8.0), (429, 0, "-5", 0.0)]
+
+
+@query(_values([(s, a, h, None if w is None else f"{w}") for s, a, h, w in RETRIES], "status, attempt, retry_after, wait"))
+def retry_waits(spark, sf_dir):
+    """How long to wait for a busy archive."""
+    df = spark.createDataFrame([r[:3] for r in RETRIES], "status int, attempt int, retry_after string")
+    return df.select("*", S.retry_wait(F.col("status"), F.col("attempt"), F.col("retry_after")).cast("string").alias("wait"))
+
+
+REQUESTS = [("a@b.com", "brk.b", "2003", None, None), ("ab.com", "X", "2003", None, "email"), ("a@b.com", "1X", "2003", None, "ticker"), ("a@b.com", "X", "20x3", None, "year"), ("a@b.com", "X", "1901", None, "year"), ("a@b.com", "X", " 1999 ", "10-K", "form"), ("a@b.com", "X", "1999", "def 14a", None)]
+
+
+@query(_values(REQUESTS, "email, ticker, year, form, bad"))
+def request_checks(spark, sf_dir):
+    df = spark.createDataFrame([r[:4] for r in REQUESTS], "email string, ticker string, year string, form string")
+    return df.select("*", S.valid_request(*(F.col(c) for c in ("email", "ticker", "year", "form"))).alias("bad"))
+
+
+URLS = [("https://www.sec.gov/Archives/edgar/data/1/a.txt", True), ("http://www.sec.gov/Archives/a", False), ("https://evil.example/Archives/a", False), ("https://www.sec.gov@evil.example/Archives/", False), ("https://data.sec.gov/submissions/CIK1.json", True), ("https://www.sec.gov/cgi-bin/x", False), ("no url", False)]
+
+
+@query(_values(URLS, "url, allowed"))
+def fetchable_urls(spark, sf_dir):
+    return spark.createDataFrame([(u,) for u, _ in URLS], "url string").select("url", S.fetchable(F.col("url")).alias("allowed"))
+
+
+@query("SELECT user_id, event_type, count(*) AS n, json_object('user', user_id, 'type', event_type)::VARCHAR AS js FROM events GROUP BY 1, 2")
+def json_rows(spark, sf_dir):
+    """Results as JSON."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("js", F.to_json(F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("type"))))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from filingloom.functions.text import has_any
+
 #: Suffixes in order of preference.
 SUFFIXES = ("html", "htm", "txt")
 #: Filings before this date exist as one complete submission only.
@@ -149,3 +151,64 @@ def csv_document(roles: Column, rows: Column) -> Column:
     n = F.size(roles)
     line = lambda cells: F.array_join(F.transform(F.slice(F.concat(cells, F.array_repeat(F.lit(""), n)), F.lit(1), n), csv_field), ",")
     return F.concat(line(roles), F.lit("\n"), F.array_join(F.transform(rows, lambda r: F.concat(line(r), F.lit("\n"))), ""))
+
+
+# --- documents as a viewer, a cache and a client see them
+
+#: Wordings of the header that each table must have.
+EVIDENCE = {
+    "summary_compensation": ("principal position", "name and principal", "name of executive"),
+    "director_compensation": ("fees earned", "paid in cash", "annual retainer"),
+    "beneficial_ownership": ("beneficial owner", "percent of class", "beneficially owned"),
+}
+
+
+def contains_evidence(text: Column, profile: str) -> Column:
+    """Whether a document speaks of the table's mandated header at all; true for a table without known wordings."""
+    phrases = EVIDENCE.get(profile)
+    return has_any(F.lower(text), phrases) if phrases else F.lit(True)
+
+
+def looks_like_html(text: Column) -> Column:
+    """Whether to show a document as HTML: old table blocks without rows or cells are not."""
+    return F.substring(F.lower(text), 1, 8192).rlike(r"<html|<!doctype html|<body|<div|<font|<span|<p[\s>]|<t[dr][\s>]")
+
+
+def content_hash(content: Column) -> Column:
+    return F.left(F.sha2(content.cast("binary"), 256), F.lit(16))
+
+
+def write_cache(filings: DataFrame, root: str) -> None:
+    """Keep documents (ticker, form, token, content, ...) by ticker and form; empty ones are refused. Spark's committer
+    makes each file appear whole or not at all."""
+    keep = filings.where(F.length("content") > 0).withColumn("form", encode_form(F.col("form")))
+    keep.repartition("ticker", "form").write.mode("append").partitionBy("ticker", "form").parquet(root)
+
+
+def read_cache(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(root).withColumn("form", F.replace("form", F.lit("_"), F.lit(" ")))
+
+
+def retry_wait(status: Column, attempt: Column, retry_after: Column, most: int = 4) -> Column:
+    """Seconds to wait before a request is tried again, without jitter; null where it is not: done, missing or given up."""
+    throttled = status.isin(403, 429) | (status >= 500)
+    asked = retry_after.try_cast("double")
+    stated = F.when(asked.isNotNull(), F.greatest(asked, F.lit(0.0)))
+    return F.when(throttled & (attempt < most), F.coalesce(stated, F.pow(F.lit(2.0), attempt)))
+
+
+def valid_request(email: Column, ticker: Column, year: Column, form: Column) -> Column:
+    """The first field of a request that cannot be used, or null."""
+    number = F.trim(year).try_cast("int")
+    return (
+        F.when(~F.coalesce(F.trim(email).rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]{2,}$") & (F.length(F.trim(email)) <= 254), F.lit(False)), "email")
+        .when(~F.coalesce(F.upper(F.trim(ticker)).rlike(r"^[A-Z][A-Z0-9.\-]{0,9}$"), F.lit(False)), "ticker")
+        .when(~F.coalesce(number.between(1993, 2100), F.lit(False)), "year")
+        .when(~F.coalesce(F.upper(F.trim(form)), F.lit("DEF 14A")).isin("DEF 14A", "DEFM14A", "DEFA14A", "PRE 14A", ""), "form")
+    )
+
+
+def fetchable(url: Column) -> Column:
+    """Whether a URL is within the archive."""
+    host, path = F.try_parse_url(url, F.lit("HOST")), F.try_parse_url(url, F.lit("PATH"))
+    return F.coalesce((F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & host.isin("www.sec.gov", "data.sec.gov") & (path.startswith("/Archives/") | path.startswith("/submissions/") | path.startswith("/files/")), F.lit(False))
