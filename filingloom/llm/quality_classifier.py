@@ -1,7 +1,7 @@
 """Quality classifier: support vectors on Naive Bayes features.
 
-A text's features are indicators of its byte n-grams (1 to 4 bytes), of its words, and of word bigrams and trigrams that
-repeat one word, hashed to ``DIMS`` places. Each is
+A text's features are indicators of its byte n-grams (1 to 4 bytes), of its words, and of word n-grams that
+repeat one word (2 to 24 times), in ``DIMS`` places by hash. Each is
 scaled by the log ratio of its smoothed shares in the two classes; a linear hinge-loss model is then fitted to the
 scaled vectors, brought to length 1, by dual coordinate descent, and blended with the mean weight as usual for this
 method. A logistic curve fitted on rows that the model did not see turns margins into scores.
@@ -28,6 +28,8 @@ from filingloom.llm.common import RollingHash, crc_mod, labelled_sample, mix64,
 
 SAMPLE, DIMS, THRESHOLD = 6000, 1 << 16, 0.3
 ORDERS = (1, 2, 3, 4)
+#: The longest word n-gram of one word that counts; places 2 to this one are theirs.
+MOST_RUN = 24
 
 
 def indicators(data: bytes, hasher: RollingHash) -> np.ndarray:
@@ -48,9 +50,10 @@ def indicators(data: bytes, hasher: RollingHash) -> np.ndarray:
     if len(start):
         words = hasher.ranges(hasher.prefix(raw), start, end)
         seen[(words & np.uint64(DIMS - 1)).astype(np.int64)] = True
-        again = words[1:] == words[:-1]  # word bigrams and trigrams of one word
-        if again.any():
-            seen[[1, 2] if (again[1:] & again[:-1]).any() else [1]] = True
+        # Word n-grams that repeat one word, whichever: their longest run tells which of them there are.
+        change = np.flatnonzero(np.append(words[1:] != words[:-1], True))
+        run = int(np.diff(change, prepend=-1).max())
+        seen[2 : min(run, MOST_RUN) + 1] = True
     return np.flatnonzero(seen)
 
 
@@ -109,7 +112,7 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def train_model(rows: list[np.ndarray], y: np.ndarray, held: np.ndarray, blend: float = 0.25, cost: float = 1.0) -> QualityModel:
+def train_model(rows: list[np.ndarray], y: np.ndarray, held: np.ndarray, blend: float = 0.25, cost: float = 10.0) -> QualityModel:
     """rows: places by text; held: rows for the logistic curve only."""
     share = float(y.mean()) if len(y) else 0.5
     flat = QualityModel(np.zeros(DIMS), np.zeros(DIMS), 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
