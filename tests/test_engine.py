@@ -246,3 +246,22 @@ def test_command_line(spark, archive, capsys):
     with pytest.raises(SystemExit) as e:
         cli.main(["--what"], spark)
     assert e.value.code == 3
+
+
+def test_sql_functions(spark):
+    from filingloom.plans import sql
+
+    sql.register(spark)
+    filing(spark, STACKED, name="h").createOrReplaceTempView("html_filings")
+    filing(spark, RULED, name="t").createOrReplaceTempView("text_filings")
+    cells = spark.sql("SELECT t.* FROM html_filings f, LATERAL html_cells(f.text) t WHERE t.row_ix = 0 ORDER BY col_ix").collect()
+    assert [c.text for c in cells] == ["Name and\nPrincipal Position", "Fiscal Year", "Salary ($)", "Bonus ($)"]
+    found = spark.sql("SELECT t.backend FROM text_filings f, LATERAL text_tables(f.text, 'sct') t").collect()
+    assert found and {c.backend for c in found} == {"ascii"}
+    assert spark.sql("SELECT count(*) AS n FROM schema_fields WHERE profile = 'beneficial_ownership'").first().n == 12
+
+
+def test_extraction_has_no_shuffle(spark, capsys):
+    extract(filing(spark, STACKED), "sct").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan and plan.count("MapInArrow\n") >= 3
