@@ -10,8 +10,8 @@ overlap that is needed. Only links that join two components are looked for withi
 How it keeps together at scale:
 
 * equal sets are one node, found by a digest before anything else, so thousands of copies cost one;
-* a first wave meets at the first ``FIRST`` shingles of each prefix and joins most groups; the second takes the whole
-  prefix but only shingles at which different components still meet. Shingles with the very same members count once;
+* a first wave meets at the first ``FIRST`` shingles of each prefix that others have too, and joins most groups; the
+  second takes the whole prefix but only shingles at which different components still meet. Shingles with the very same members count once;
 * in the second wave, parity bits of the sets go to the meetings first; they bound the overlap from above and leave the
   few pairs whose sets are then walked;
 * the sketch has a fixed size (256 KB as levels); frequent shingles fall to the end of the order, out of the prefixes;
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filingloom.llm.common import RollingHash, byte_table, materialise, table
@@ -408,12 +408,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = given.join(nodes, ["sid", "node"])
     walk = _walk(k, percent, levels)
 
-    first = sets.select("node", F.explode(F.slice("prefix", 1, FIRST)).alias("token")).distinct().withColumn("comp", F.col("node"))
+    every = sets.select("node", F.explode("prefix").alias("token"))
+    met = every.groupBy("token").agg(F.min("node").alias("n1"), F.max("node").alias("n2")).where(F.col("n1") != F.col("n2")).select("token")
+    every = materialise(every.join(met, "token").distinct(), "jaccard-met")
+    # A node's first shingles that others have too; those that nobody has come before them.
+    place = F.row_number().over(Window.partitionBy("node").orderBy("token"))
+    first = every.withColumn("place", place).where(F.col("place") <= FIRST).select("token", "node", F.col("node").alias("comp"))
     links = _links(first, given, walk, False)
     labels = components(links)
-    every = sets.select("node", "prefix").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.explode("prefix").alias("token"))
-    met = every.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where(F.col("c1") != F.col("c2")).select("token")
-    second = materialise(every.join(met, "token").distinct(), "jaccard-second")
+    second = every.join(labels, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
     meetings = materialise(_blocks(second, True), "jaccard-meetings")
     pairs = materialise(_dealt(meetings, given, "n", "mark").mapInArrow(_pairs(percent), "a bigint, b bigint").distinct(), "jaccard-pairs")
     # Those that may link with a node meet at it.
