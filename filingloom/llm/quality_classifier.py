@@ -57,10 +57,27 @@ def indicators(data: bytes, hasher: RollingHash) -> np.ndarray:
     return np.flatnonzero(seen)
 
 
-def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int, c: np.ndarray, epochs: int = 15, seed: int = 0) -> np.ndarray:
-    """Weights of the linear hinge-loss (L1) support vector machine; rows: (places, values), y: -1 or 1, c: cost by row."""
+class ScaledRows:
+    """Rows (places, values) made when they are asked for: scaled indicators of length 1 and an intercept of 1."""
+
+    def __init__(self, rows: list[np.ndarray], ratio: np.ndarray) -> None:
+        self.rows, self.ratio = rows, np.append(ratio, 1.0)
+        self.length = np.array([max(1e-12, float(np.sqrt((ratio[r] ** 2).sum()))) for r in rows])
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.append(self.rows[i], len(self.ratio) - 1)
+        v = self.ratio[at] / self.length[i]
+        v[-1] = 1.0
+        return at, v
+
+
+def dual_coordinate_descent(rows, y: np.ndarray, dims: int, c: np.ndarray, epochs: int = 15, seed: int = 0) -> np.ndarray:
+    """Weights of the linear hinge-loss (L1) support vector machine; rows: a sequence of (places, values), y: -1 or 1, c: cost by row."""
     w, alpha = np.zeros(dims), np.zeros(len(rows))
-    square = np.array([float(v @ v) for _, v in rows])
+    square = np.array([float(v @ v) for v in (rows[i][1] for i in range(len(rows)))])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
@@ -125,12 +142,7 @@ def train_model(rows: list[np.ndarray], y: np.ndarray, held: np.ndarray, blend:
     shares = counts / (1 + np.bincount(y[fit].astype(int), minlength=2))[:, None]
     ratio = np.log(shares[1] / shares[0]) - np.log((1 - np.minimum(shares[1], 0.999)) / (1 - np.minimum(shares[0], 0.999)))
     square = ratio * ratio
-    one = DIMS  # the intercept's place
-    scaled = []
-    for i in fit:
-        v = ratio[rows[i]]
-        v = v / max(1e-12, np.sqrt((v * v).sum()))
-        scaled.append((np.append(rows[i], one), np.append(v, 1.0)))
+    scaled = ScaledRows([rows[i] for i in fit], ratio)
     sign = np.where(y[fit] == 1, 1.0, -1.0)
     weight_of = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum())) * len(fit)
     w = dual_coordinate_descent(scaled, sign, DIMS + 1, cost * weight_of)
@@ -157,11 +169,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, limit: int =
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RollingHash()
         for batch in batches:
-            places = [indicators(d or b"", hasher).astype("<u4").tobytes() for d in batch.column("data").to_pylist()]
+            places = [indicators(d or b"", hasher).astype("<u2").tobytes() for d in batch.column("data").to_pylist()]
             yield pa.record_batch([batch.column("at"), batch.column("y"), pa.array(places, pa.binary())], names=["at", "y", "places"])
 
     got = sample.mapInArrow(measure, "at bigint, y int, places binary").orderBy("at").collect()
-    rows = [np.frombuffer(r["places"], "<u4").astype(np.int64) for r in got]
+    rows = [np.frombuffer(r["places"], "<u2").astype(np.int32) for r in got]
     held = np.array([(r["at"] >> 1) % 4 == 0 for r in got], bool)
     return train_model(rows, np.array([r["y"] for r in got], float), held)
 
