@@ -7,7 +7,7 @@ dealt out anew by a hash of id and copy, then sorted by it: a global shuffle wit
 functions only.
 
 The statistics are one partial sum for each source and task, so a source with a third of all rows costs nothing more.
-They are written before the join, which has no hint: Spark broadcasts them when their measured size allows, and otherwise
+They are written first, and the join has no hint: Spark broadcasts them when their measured size allows, and otherwise
 sorts and merges, splitting a hot source.
 
 Defined results: a null source is a source of its own; null text counts as empty; sources without characters get rate 0
@@ -70,15 +70,13 @@ def mix_sources(
     else:
         named = stats.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, weight double")
         stats = stats.join(named, F.col("mix_source") == F.col("name"), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    totals = stats.agg(F.sum("chars").alias("all_chars"), F.sum("rows").alias("all_rows"))
-    # One row: the totals of the sources.
-    stats = stats.join(F.broadcast(totals))
-    size = F.when(F.col("all_chars") > 0, F.col("chars")).otherwise(F.col("rows")).cast("double")
-    all_size = F.when(F.col("all_chars") > 0, F.col("all_chars")).otherwise(F.col("all_rows")).cast("double")
-    stats = stats.select("mix_source", size.alias("size"), all_size.alias("all_size"), F.when(size > 0, F.col("weight")).otherwise(0.0).alias("weight"))
-    usable = stats.agg(F.sum("weight").alias("all_weight"))
-    rates = stats.join(F.broadcast(usable)).select("mix_source", F.when(F.col("weight") > 0, F.col("weight") / F.col("all_weight") * F.col("all_size") * float(epochs) / F.col("size")).otherwise(0.0).alias("mix_rate"))
-    rates = materialise(rates, "mix-rates")  # a row for each source, of known size: no need to shuffle texts to find out
+    stats = materialise(stats, "mix-stats")  # a row for each source, of known size: no need to shuffle texts to find out
+    all_chars, all_rows = stats.agg(F.coalesce(F.sum("chars"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    size = (F.col("chars") if all_chars else F.col("rows")).cast("double")
+    weight = F.when(size > 0, F.col("weight")).otherwise(0.0)
+    all_weight = stats.agg(F.sum(weight)).first()[0] or 1.0
+    rate = F.when(weight > 0, F.col("weight") / float(all_weight) * float(all_chars or all_rows) * float(epochs) / size).otherwise(0.0)
+    rates = stats.select("mix_source", rate.alias("mix_rate"))
     drawn = docs.join(rates, docs[source_col].eqNullSafe(F.col("mix_source"))).withColumn("mix_copies", poisson_inverse(uniform(F.lit(seed), docs[id_col]), F.col("mix_rate")))
     copies = drawn.where(F.col("mix_copies") > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
     copies = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), docs[id_col], F.col("mix_copy")))
