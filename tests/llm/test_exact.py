@@ -302,3 +302,18 @@ def test_poisson_inverse(spark):
                 break
             k += 1
         assert abs(row.k - k) <= (1 if row.u > 1 - 1e-9 else 0), (row, k)
+
+
+@pytest.mark.parametrize("op", [chat.op4_chat_formatting, line_dedup.op5_line_dedup, mixing.op10_mixing])
+def test_native_plans(spark, capsys, op):
+    """No Python on the executors, and no cross join beyond one row of totals."""
+    op(spark, "/root/testdata/sf0.001").explain("formatted")
+    plan = capsys.readouterr().out
+    assert not any(word in plan for word in ("Python", "MapIn", "Arrow", "Pandas", "CartesianProduct"))
+
+
+def test_queries_and_sql_agree_on_names():
+    from filingloom.llm import queries
+
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
