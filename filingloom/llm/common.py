@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,9 +109,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def binary_rows(batch, *columns: str) -> Iterator[tuple]:
-    """The rows of an Arrow batch as Python tuples."""
-    yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+def slices(batches, rows: int = 256) -> Iterator:
+    """Arrow batches in parts of a few rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int, seed: int = 0) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import byte_table, merged, table
+from filingloom.llm.common import byte_table, merged, slices, table
 
 WINDOW = 10
 #: Windows that one scan holds, some 2 KB each with their tables.
@@ -125,7 +125,7 @@ def _scanner(windows: list, text_col: str, keep_clean: bool):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(key, windows)
-        for batch in batches:
+        for batch in slices(batches):
             n_words, spans, items = [], [], []
             for data in batch.column(text_col).cast(pa.binary()).to_pylist():
                 words = words_of(data)

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import RollingHash, byte_table, materialise, table
+from filingloom.llm.common import RollingHash, byte_table, materialise, slices, table
 from filingloom.llm.components import components
 
 CELLS, STRIP = 1 << 18, 256
@@ -206,7 +206,7 @@ def _survey(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, sketch, held, waiting = RollingHash(), np.zeros(CELLS, np.int64), [], 0
         names = ["doc_id", "n", "sid", "strip", "counts"]
-        for batch in batches:
+        for batch in slices(batches):
             sizes, digests = [], []
             for data in batch.column("data").to_pylist():
                 tokens = shingles(normalised(data), k, hasher)
@@ -232,11 +232,22 @@ def _survey(k: int):
 def _levels(strips: DataFrame) -> np.ndarray:
     """Levels of the summed sketch: 0 up to four times the mean, then one more for each doubling. 1024 rows."""
 
-    def add(pdf):
-        return pdf.head(1).assign(counts=[np.sum([np.frombuffer(c, "<i8") for c in pdf["counts"]], axis=0).astype("<i8").tobytes()])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of the strips that come one after another; at most one strip is held."""
+        strip, total = None, None
+        give = lambda: pa.record_batch([pa.array([strip], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["strip", "counts"])
+        for batch in slices(batches):
+            for i, counts in zip(batch.column("strip").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if i != strip:
+                    if strip is not None:
+                        yield give()
+                    strip, total = i, np.zeros(STRIP, np.int64)
+                total = total + np.frombuffer(counts, "<i8")
+        if strip is not None:
+            yield give()
 
     sums = np.zeros(CELLS)
-    for row in strips.groupBy("strip").applyInPandas(add, "strip int, counts binary").collect():
+    for row in strips.repartition("strip").sortWithinPartitions("strip").mapInArrow(add, "strip int, counts binary").collect():
         sums[row["strip"] * STRIP : (row["strip"] + 1) * STRIP] = np.frombuffer(bytes(row["counts"]), "<i8")
     ratio = sums / (4 * max(1.0, sums.mean()))
     return np.where(ratio > 1, np.minimum(31, np.floor(np.log2(np.maximum(ratio, 1))) + 1), 0).astype(np.uint8)
@@ -247,7 +258,7 @@ def _prefixes(k: int, percent: int, levels: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, pack, lately = RollingHash(), zstandard.ZstdCompressor(level=3), OrderedDict()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(6)]
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 text = normalised(data)
@@ -308,7 +319,7 @@ def _walk(k: int, percent: int, levels: np.ndarray):
             return found
 
         key, members, found = None, {}, []
-        for batch in batches:
+        for batch in slices(batches):
             columns = [batch.column(c).to_pylist() for c in ("token", "block", "node", "comp", "body")]
             for token, block, node, comp, body in zip(*columns, strict=True):
                 if (token, block) != key:
@@ -351,7 +362,7 @@ def _pairs(percent: int):
             return pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
         key, members, found = None, [], []
-        for batch in batches:
+        for batch in slices(batches):
             for token, block, node, comp, n, mark in zip(*(batch.column(c).to_pylist() for c in ("token", "block", "node", "comp", "n", "mark")), strict=True):
                 if (token, block) != key:
                     found += pairs(members)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import RollingHash, crc_mod, labelled_sample, mix64, table
+from filingloom.llm.common import RollingHash, crc_mod, labelled_sample, mix64, slices, table
 
 SAMPLE, DIMS, THRESHOLD = 6000, 1 << 16, 0.3
 ORDERS = (1, 2, 3, 4)
@@ -168,7 +168,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, limit: int =
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RollingHash()
-        for batch in batches:
+        for batch in slices(batches):
             places = [indicators(d or b"", hasher).astype("<u2").tobytes() for d in batch.column("data").to_pylist()]
             yield pa.record_batch([batch.column("at"), batch.column("y"), pa.array(places, pa.binary())], names=["at", "y", "places"])
 
@@ -183,7 +183,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RollingHash()
-        for batch in batches:
+        for batch in slices(batches):
             scores = [model.score(indicators(d or b"", hasher)) for d in batch.column("data").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
 

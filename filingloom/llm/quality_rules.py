@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import labelled_sample, mix64, table
+from filingloom.llm.common import labelled_sample, mix64, slices, table
 from filingloom.llm.trees import Forest, fit_forest
 
 SAMPLE, KEEP_AT, WINDOW = 8000, 0.3, 8
@@ -92,7 +92,7 @@ def base_failed(base: tuple[int, ...]) -> bool:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, np.ndarray]]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [statistics(data or b"") for data in batch.column("data").to_pylist()]
         yield batch, [r[0] for r in rows], np.array([r[1] for r in rows]).reshape(len(rows), len(FEATURES))
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import RollingHash, materialise, merged, table
+from filingloom.llm.common import RollingHash, materialise, merged, slices, table
 
 MATCH, SPREAD, HOT = 400, 192, 1000
 #: Bytes of a text that are looked at together, and texts of a batch of the family.
@@ -127,7 +127,7 @@ def _survey(match: int, spread: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RollingHash()
-        for batch in batches:
+        for batch in slices(batches):
             columns: list[list[np.ndarray]] = [[] for _ in range(4)]
             rows, tags, which = [], [], []
             for i, data in enumerate(batch.column("data").to_pylist()):
@@ -151,7 +151,7 @@ def _survey(match: int, spread: int):
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in slices(batches):
         data = batch.column("data").to_pylist()
         tags = np.array([crc32(d) for d in data], np.uint32).view(np.int32)
         yield pa.record_batch([batch.column("doc_id"), pa.array(tags), pa.array([pack.compress(d) for d in data], pa.binary())], names=["doc_id", "tag", "packed"])
@@ -163,7 +163,7 @@ def _extract(match: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         names = ["anchor", "hot", "single", "doc_id", "tag", "start", "part"]
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in names]
             for doc_id, tag, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "packed", "wanted")), strict=True):
                 data = unpack.decompress(packed)
@@ -204,7 +204,7 @@ def _families(match: int):
             return pa.record_batch([pa.array([f[i] for f in found], kinds[i]) for i in range(4)], names=["doc_id", "tag", "start", "end"])
 
         found: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches):
             kind = batch.schema.field("doc_id").type
             for a, single, doc_id, tag, start, part in zip(*(batch.column(c).to_pylist() for c in ("anchor", "single", "doc_id", "tag", "start", "part")), strict=True):
                 if a != anchor:
@@ -224,7 +224,7 @@ def _families(match: int):
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in slices(batches):
         out: tuple[list, list, list, list] = ([], [], [], [])
         for packed, spans in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             data = unpack.decompress(packed)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import crc_mod, labelled_sample, table
+from filingloom.llm.common import crc_mod, labelled_sample, slices, table
 from filingloom.llm.trees import Forest, Isotonic, fit_forest, fit_isotonic
 
 SAMPLE, TERMS, THRESHOLD = 8000, 600, 0.3
@@ -135,7 +135,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zeros.clear()
         return out
 
-    for batch in batches:
+    for batch in slices(batches):
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
             (ones if y else zeros).update(_terms(text))
             if len(ones) + len(zeros) > 500_000:
@@ -172,7 +172,7 @@ class ToxicityModel:
 
 def _matrix(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     flags = _Flags(lexicon)
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column("text").to_pylist()
         yield batch, np.array([features(t or "", flags) for t in texts]).reshape(len(texts), len(FEATURES))
 
