@@ -41,7 +41,7 @@ from filingloom.llm.common import RollingHash, byte_table, materialise, slices,
 from filingloom.llm.components import components
 
 CELLS, STRIP = 1 << 18, 256
-FIRST, GROUP = 4, 1000
+FIRST, GROUP = 8, 1000
 HASH_BITS = np.uint64((1 << 58) - 1)
 WORDS = byte_table(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 
@@ -377,28 +377,31 @@ def _pairs(percent: int):
 
 
 def _one_of_equal(meetings: DataFrame) -> DataFrame:
-    """meetings (token, node, comp) without tokens that have one component only or the same members as another; size added."""
+    """meetings (token, node, comp) without tokens that have one component only or the same members as another; size and lead (the smallest node) added."""
     mark = F.xxhash64("node", F.lit(1))
-    groups = meetings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(mark).alias("y"))
-    kept = groups.where(F.col("c1") != F.col("c2")).groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token", "size")
+    groups = meetings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(mark).alias("y"))
+    kept = groups.where(F.col("c1") != F.col("c2")).groupBy("size", "lead", "x", "y").agg(F.min("token").alias("token")).select("token", "size", "lead")
     return meetings.join(kept, "token")
 
 
 def _blocks(meetings: DataFrame, pairs: bool) -> DataFrame:
-    """(token, block, node, comp): a meeting in blocks, at random or, where all pairs are wanted, as pairs of blocks."""
+    """(lead, token, block, node, comp): a meeting in blocks, at random or, where all pairs are wanted, as pairs of blocks."""
     meetings = _one_of_equal(meetings)
     n = F.ceil(F.col("size") / GROUP).cast("int")
     own = F.pmod(F.xxhash64("node", "token"), n).cast("int")
     if not pairs:
-        return meetings.select("token", own.cast("long").alias("block"), "node", "comp")
+        return meetings.select("lead", "token", own.cast("long").alias("block"), "node", "comp")
     both = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.least(own, o).cast("long") * n + F.greatest(own, o))
-    return meetings.select("token", F.explode(F.when(n == 1, F.array(F.lit(0).cast("long"))).otherwise(both)).alias("block"), "node", "comp")
+    return meetings.select("lead", "token", F.explode(F.when(n == 1, F.array(F.lit(0).cast("long"))).otherwise(both)).alias("block"), "node", "comp")
 
 
 def _dealt(meetings: DataFrame, given: DataFrame, *columns: str) -> DataFrame:
-    """Meetings with columns of their nodes, each meeting in one task and in order."""
+    """Meetings with columns of their nodes, each meeting in one task and in order.
+
+    Meetings with the same smallest node go to one task: what one of them has joined, the others need not look at.
+    """
     own = given.select("node", *columns).join(meetings.select("node").distinct(), "node", "left_semi")
-    return meetings.join(own, "node").select("token", "block", "node", "comp", *columns).repartition("token", "block").sortWithinPartitions("token", "block", "node")
+    return meetings.join(own, "node").select("lead", "token", "block", "node", "comp", *columns).repartition("lead", "block").sortWithinPartitions("lead", "block", "token", "node")
 
 
 def _links(meetings: DataFrame, given: DataFrame, walk, pairs: bool) -> DataFrame:
