@@ -395,19 +395,20 @@ def _blocks(meetings: DataFrame, pairs: bool) -> DataFrame:
     return meetings.select("lead", "token", F.explode(F.when(n == 1, F.array(F.lit(0).cast("long"))).otherwise(both)).alias("block"), "node", "comp")
 
 
-def _dealt(meetings: DataFrame, given: DataFrame, *columns: str) -> DataFrame:
+def _dealt(meetings: DataFrame, given: DataFrame, by: str, *columns: str) -> DataFrame:
     """Meetings with columns of their nodes, each meeting in one task and in order.
 
-    Meetings with the same smallest node go to one task: what one of them has joined, the others need not look at.
+    by lead: meetings with the same smallest node go to one task, and what one of them has joined, the others need not
+    look at; by token: each goes where it falls.
     """
     own = given.select("node", *columns).join(meetings.select("node").distinct(), "node", "left_semi")
-    return meetings.join(own, "node").select("lead", "token", "block", "node", "comp", *columns).repartition("lead", "block").sortWithinPartitions("lead", "block", "token", "node")
+    return meetings.join(own, "node").select("lead", "token", "block", "node", "comp", *columns).repartition(by, "block").sortWithinPartitions(by, "block", "token", "node")
 
 
 def _links(meetings: DataFrame, given: DataFrame, walk, pairs: bool) -> DataFrame:
     """Verified links among the members of each meeting (token, node, comp)."""
     meetings = materialise(_blocks(meetings, pairs), "jaccard-meetings")
-    return materialise(_dealt(meetings, given, "body").mapInArrow(walk, "a bigint, b bigint"), "jaccard-links")
+    return materialise(_dealt(meetings, given, "lead", "body").mapInArrow(walk, "a bigint, b bigint"), "jaccard-links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -423,7 +424,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     walk = _walk(k, percent, levels)
 
     every = sets.select("node", F.explode("prefix").alias("token"))
-    met = every.groupBy("token").agg(F.min("node").alias("n1"), F.max("node").alias("n2")).where(F.col("n1") != F.col("n2")).select("token")
+    met = every.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("token")
     every = materialise(every.join(met, "token").distinct(), "jaccard-met")
     # A node's first shingles that others have too; those that nobody has come before them.
     place = F.row_number().over(Window.partitionBy("node").orderBy("token"))
@@ -432,7 +433,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = components(links)
     second = every.join(labels, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
     meetings = materialise(_blocks(second, True), "jaccard-meetings")
-    pairs = materialise(_dealt(meetings, given, "n", "mark").mapInArrow(_pairs(percent), "a bigint, b bigint").distinct(), "jaccard-pairs")
+    pairs = materialise(_dealt(meetings, given, "token", "n", "mark").mapInArrow(_pairs(percent), "a bigint, b bigint").distinct(), "jaccard-pairs")
     # Those that may link with a node meet at it.
     third = pairs.select(F.col("a").alias("token"), F.col("b").alias("node")).unionByName(pairs.select(F.col("a").alias("token"), F.col("a").alias("node")).distinct())
     third = third.join(labels, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
