@@ -41,7 +41,7 @@ from filingloom.llm.common import RollingHash, byte_table, materialise, slices,
 from filingloom.llm.components import components
 
 CELLS, STRIP = 1 << 18, 256
-FIRST, GROUP = 8, 1000
+FIRST, GROUP = 6, 1000
 HASH_BITS = np.uint64((1 << 58) - 1)
 WORDS = byte_table(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 
@@ -257,7 +257,7 @@ def _prefixes(k: int, percent: int, levels: np.ndarray):
     """doc_id, set digest and size, prefix, mark and compressed text; a task leaves out sets that it has given lately."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, pack, lately = RollingHash(), zstandard.ZstdCompressor(level=3), OrderedDict()
+        hasher, pack, lately = RollingHash(), zstandard.ZstdCompressor(level=9), OrderedDict()
         for batch in slices(batches):
             out: list[list] = [[] for _ in range(6)]
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
