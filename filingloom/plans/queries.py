@@ -73,8 +73,8 @@ def holders_sgml(spark, sf_dir):
 
 @query(f"SELECT filing_id, holder AS holder_name, (pos + 10) || ' Wall Street New York, NY 10005' AS holder_address, false AS is_group, shares, pct / 100.0::DOUBLE AS percent FROM ({HOLDERS})")
 def holders_continuation(spark, sf_dir):
-    """Address lines below a holder's row belong to it."""
-    rows = render.holders(table(spark, sf_dir, "supplier"))
+    """Address lines below a holder's row belong to it. A filing's holders stand in as many documents as their lines need."""
+    rows = render.parted(render.holders(table(spark, sf_dir, "supplier")), render.TALL_ROWS)
     return typed_holders(extract(render.ascii_holders(rows, F.concat((F.col("pos") + 10).cast("string"), F.lit(" Wall Street\n New York, NY 10005"))), "ownership"))
 
 

@@ -1,7 +1,8 @@
 """Filings rendered from relational tables, in all three encodings, so that extraction has a SQL twin.
 
-Documents are strings built by expressions; a document has at most ``ROWS`` rows, so groups of any size are spread over
-as many documents as they need.
+Documents are strings built by expressions; a filing has at most ``ROWS`` rows, so groups of any size are spread over as
+many filings as they need. A text scan captures a bounded number of lines: where a row takes several, ``parted`` deals a
+filing's rows to documents of the same id.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS = 100
+#: Rows of three lines in a document: with its header well under scan_text.CAPTURE.
+TALL_ROWS = 60
 OWNERS = ("NAME AND ADDRESS OF", "AMOUNT AND NATURE OF", "PERCENT"), ("BENEFICIAL OWNER", "BENEFICIAL OWNERSHIP", "OF CLASS")
 TITLE = "SECURITY OWNERSHIP OF MANAGEMENT"
 
@@ -24,13 +27,21 @@ def holders(supplier: DataFrame) -> DataFrame:
     return rows.select("filing_id", F.col("rn").alias("pos"), F.col("s_name").alias("holder"), "shares", F.expr("shares * 10000 div total").alias("pct"))
 
 
+def parted(rows: DataFrame, most: int) -> DataFrame:
+    """part: the document of its filing that a row stands in; a document has at most ``most`` rows, and a filing's documents differ by one row at most."""
+    w = Window.partitionBy("filing_id")
+    rows = rows.withColumn("at", F.row_number().over(w.orderBy("pos")) - 1).withColumn("of", F.count(F.lit(1)).over(w))
+    return rows.withColumn("part", F.expr(f"at * ceil(of / {most}) div of")).drop("at", "of")
+
+
 def percent_text(pct: Column) -> Column:
     return F.format_string("%d.%02d%%", F.expr("pct div 100"), F.expr("pct % 100"))
 
 
 def documents(rows: DataFrame, line: Column, before: str, after: str, filed: str = "1996-05-01", between: str = "\n") -> DataFrame:
-    """One document for each filing_id: its rows' lines in order between ``before`` and ``after``."""
-    lines = rows.select("filing_id", F.struct("pos", line.alias("line")).alias("l")).groupBy("filing_id").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    """One document for each filing_id, and part if rows have one: its rows' lines in order between ``before`` and ``after``."""
+    keys = [c for c in ("filing_id", "part") if c in rows.columns]
+    lines = rows.select(*keys, F.struct("pos", line.alias("line")).alias("l")).groupBy(*keys).agg(F.array_sort(F.collect_list("l")).alias("ls"))
     text = F.concat(F.lit(before), F.array_join(F.transform("ls", lambda x: x["line"]), between), F.lit(after))
     return lines.select("filing_id", F.lit(filed).cast("date").alias("filing_date"), text.alias("text"))
 
