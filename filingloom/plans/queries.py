@@ -206,6 +206,13 @@ def decode_bytes(spark, sf_dir):
     return docs.select("doc_id", T.decode(F.encode("text", "UTF-8")).alias("text"), T.decode(latin).alias("latin"))
 
 
+@query(r"SELECT doc_id, text, CASE WHEN NOT regexp_matches(text, '[^\x{00}-\x{FF}]') THEN text END AS latin FROM documents")
+def decode_all_bytes(spark, sf_dir):
+    """All documents from their UTF-8 and, where Latin-1 has all their characters, from their Latin-1 form."""
+    latin = F.when(~F.col("text").rlike(r"[^\x00-\xFF]"), F.encode("text", "ISO-8859-1"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.decode(F.encode("text", "UTF-8")).alias("text"), T.decode(latin).alias("latin"))
+
+
 @query("""
 SELECT doc_id, n_lines, lines[1] AS first_line, lines[n_lines] AS last_line FROM (
   SELECT doc_id, lines, len(lines) AS n_lines FROM (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS lines FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))""")
