@@ -411,6 +411,12 @@ def _links(meetings: DataFrame, given: DataFrame, walk, pairs: bool) -> DataFram
     return materialise(_dealt(meetings, given, "lead", "body").mapInArrow(walk, "a bigint, b bigint"), "jaccard-links")
 
 
+def _own_links(texts: DataFrame) -> DataFrame:
+    """Links between the nodes (doc_id, node) of one doc_id."""
+    least = texts.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return materialise(texts.join(least, "doc_id").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct(), "jaccard-own")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of each row; links: 100 * intersection >= percent * union. Ids are integers."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("data"))
@@ -422,6 +428,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = given.groupBy("sid").agg(F.min("node").alias("node"))
     sets = given.join(nodes, ["sid", "node"])
     walk = _walk(k, percent, levels)
+    # Ids with several texts, which link the nodes of their sets. Mostly there are none.
+    several = named.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where(F.col("lo") != F.col("hi")).select("doc_id")
+    several = materialise(several, "jaccard-several")
+    repeated = not several.isEmpty()
 
     every = sets.select("node", F.explode("prefix").alias("token"))
     met = every.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("token")
@@ -430,6 +440,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     place = F.row_number().over(Window.partitionBy("node").orderBy("token"))
     first = every.withColumn("place", place).where(F.col("place") <= FIRST).select("token", "node", F.col("node").alias("comp"))
     links = _links(first, given, walk, False)
+    if repeated:
+        links = links.unionByName(_own_links(named.join(several, "doc_id").join(nodes, "sid")))
     labels = components(links)
     second = every.join(labels, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
     meetings = materialise(_blocks(second, True), "jaccard-meetings")
@@ -446,14 +458,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of_comp = of_set.groupBy("comp").agg(F.min("least").alias("component_id"))
     final = of_set.join(of_comp, "comp").select("sid", "component_id")
     out = named.join(final, "sid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).alias("component_id"))
+    alone = F.col("doc_id")
+    if repeated:  # an empty text goes with the other texts of its id
+        of_id = named.join(several, "doc_id").join(final, "sid").groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
+        out, alone = out.join(of_id, "doc_id", "left"), F.coalesce("of_id", "doc_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, alone).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that have the smallest doc_id of their component, with all their columns."""
-    found = jaccard_components(docs, k=k, percent=percent)
-    copies = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of like texts, the one with the smallest doc_id (null ids last), with all its columns.
+
+    It goes by rows: where ids are null or repeated, rows are numbered by doc_id and digest, and each is a document.
+    """
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("doc_id").isNull() | (F.col("n") > 1))
+    if odd.isEmpty():
+        return _without_copies(docs, "doc_id", k, percent).select(*docs.columns)
+    number = "_row_number_"
+    ordered_rows = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.md5(F.to_json(F.struct(*docs.columns)).cast("binary")))
+    # Written once, so that each row keeps its number.
+    numbered = materialise(ordered_rows.withColumn(number, F.monotonically_increasing_id()), "jaccard-numbered")
+    return _without_copies(numbered, number, k, percent).select(*docs.columns)
+
+
+def _without_copies(docs: DataFrame, id_col: str, k: int, percent: int) -> DataFrame:
+    """The rows of ``docs`` whose id, one for each row, is the smallest of its component."""
+    found = jaccard_components(docs, id_col=id_col, k=k, percent=percent)
+    copies = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(copies, id_col, "left_anti")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
