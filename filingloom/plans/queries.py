@@ -71,6 +71,21 @@ def holders_sgml(spark, sf_dir):
     return typed_holders(extract(render.sgml_holders(render.holders(table(spark, sf_dir, "supplier"))), "ownership"))
 
 
+_EVERY_HOLDER = _HOLDERS_OUT.replace(" WHERE n >= 2", "")
+
+
+@query(_EVERY_HOLDER)
+def every_holder_html(spark, sf_dir):
+    """HTML tables of any size, of one row too."""
+    return typed_holders(extract(render.html_holders(render.holders(table(spark, sf_dir, "supplier"), least=1)), "ownership"))
+
+
+@query(_EVERY_HOLDER)
+def every_holder_sgml(spark, sf_dir):
+    """Tagged blocks of any size, of one row too."""
+    return typed_holders(extract(render.sgml_holders(render.holders(table(spark, sf_dir, "supplier"), least=1)), "ownership"))
+
+
 @query(f"SELECT filing_id, holder AS holder_name, (pos + 10) || ' Wall Street New York, NY 10005' AS holder_address, false AS is_group, shares, pct / 100.0::DOUBLE AS percent FROM ({HOLDERS})")
 def holders_continuation(spark, sf_dir):
     """Address lines below a holder's row belong to it. A filing's holders stand in as many documents as their lines need."""

@@ -17,13 +17,16 @@ OWNERS = ("NAME AND ADDRESS OF", "AMOUNT AND NATURE OF", "PERCENT"), ("BENEFICIA
 TITLE = "SECURITY OWNERSHIP OF MANAGEMENT"
 
 
-def holders(supplier: DataFrame) -> DataFrame:
-    """(filing_id, pos, holder, shares, pct): suppliers as holders, with their share of the document in hundredths of a percent."""
+def holders(supplier: DataFrame, least: int = 2) -> DataFrame:
+    """(filing_id, pos, holder, shares, pct): suppliers as holders, with their share of the document in hundredths of a percent.
+
+    least: rows that a document must have; text windows need two.
+    """
     w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
     rows = supplier.withColumn("rn", F.row_number().over(w) - 1).withColumn("shares", F.round(F.abs("s_acctbal") * 100).cast("bigint") + 1)
     rows = rows.withColumn("filing_id", F.format_string("N%02d-%04d", "s_nationkey", F.floor(F.col("rn") / ROWS)))
     doc = Window.partitionBy("filing_id")
-    rows = rows.withColumn("total", F.sum("shares").over(doc)).withColumn("n", F.count(F.lit(1)).over(doc)).where(F.col("n") >= 2)
+    rows = rows.withColumn("total", F.sum("shares").over(doc)).withColumn("n", F.count(F.lit(1)).over(doc)).where(F.col("n") >= least)
     return rows.select("filing_id", F.col("rn").alias("pos"), F.col("s_name").alias("holder"), "shares", F.expr("shares * 10000 div total").alias("pct"))
 
 

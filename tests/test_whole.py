@@ -1,6 +1,7 @@
 """Queries over inputs that the small tables lack, against their SQL twins."""
 
 import duckdb
+import pytest
 
 from filingloom.plans import queries
 
@@ -32,3 +33,17 @@ def test_all_documents_are_decoded(spark, tmp_path):
     documents = "SELECT * FROM (VALUES (1::BIGINT, 'caf\u00e9'), (2, 'na\u00efve'), (3, 'price \u20ac 5'), (5, ''), (7, NULL)) v(doc_id, text)"
     got, want = twins(spark, tmp_path, "decode_all_bytes", documents=documents)
     assert [r[0] for r in want] == [1, 2, 3, 5, 7] and got == want
+
+
+@pytest.mark.parametrize("name", ["every_holder_html", "every_holder_sgml"])
+def test_lone_holders(spark, tmp_path, name):
+    """Nations of one supplier each, and one of two."""
+    supplier = "SELECT * REPLACE (least(s_suppkey, 9)::INT AS s_nationkey) FROM '/root/testdata/sf0.001/supplier.parquet'"
+    got, want = twins(spark, tmp_path, name, supplier=supplier)
+    assert len(want) == 10 and got == want
+
+
+@pytest.mark.parametrize("name", ["holders_ascii", "holders_html", "holders_sgml", "holders_continuation", "holders_group_rows", "ambiguous_ties", "duplicate_collapse", "candidate_rows", "fact_rows"])
+def test_holders_where_rows_come_out(spark, tmp_path, name):
+    got, want = twins(spark, tmp_path, name, supplier="SELECT * FROM '/root/testdata/sf0.01/supplier.parquet'")
+    assert want and got == want
