@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from filingloom.operators import scan_html
 from filingloom.plans import queries
 
 
@@ -47,3 +48,11 @@ def test_lone_holders(spark, tmp_path, name):
 def test_holders_where_rows_come_out(spark, tmp_path, name):
     got, want = twins(spark, tmp_path, name, supplier="SELECT * FROM '/root/testdata/sf0.01/supplier.parquet'")
     assert want and got == want
+
+
+def test_large_plain_tables_are_kept(monkeypatch):
+    """Only places that spans add are bounded."""
+    monkeypatch.setattr(scan_html, "MOST_CELLS", 50)
+    page = lambda span: scan_html.parse("<html><body><table>" + f"<tr><td{span}>a</td><td>b</td></tr>" * 60 + "</table></body></html>")
+    assert scan_html.grid(page("").find_all("table")[0]) == [["a", "b"]] * 60
+    assert scan_html.grid(page(' colspan="2"').find_all("table")[0]) == []
