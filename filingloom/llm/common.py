@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,20 +22,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (local tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only in local mode, where one machine runs all, a
+    temporary folder stands in for a missing one; a cluster without the setting is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: operators write intermediate tables to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="filingloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lost executor never replays what lies before."""
+    """Write ``df`` to the shared folder and read it back: a lost executor never replays what lies before.
+
+    The tables lie below ``<shared folder>/filingloom-<application id>``. ``discard`` deletes one that nothing reads any
+    more; those that a returned DataFrame still reads stay until ``forget`` or whoever owns the folder deletes them.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/filingloom-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and that no DataFrame in use reads."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_to)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all that this application wrote to the shared folder. DataFrames that read it cannot be used afterwards."""
+    _delete(spark, _own_dir(spark))
 
 
 def ascii_lower(col: Column) -> Column:
@@ -65,6 +96,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class RollingHash:
     """Polynomial hashes modulo 2**64 of any ranges of a byte string, from one prefix sum.
 
+    Equal ranges have equal hashes; unlike ones may be made to collide, so this finds candidates and proves nothing.
     Powers are kept between texts and grow to the longest one seen.
     """
 
@@ -98,6 +130,33 @@ class RollingHash:
             return mix64((prefix[end] - prefix[start]) * self.inv[start] + (end - start).astype(np.uint64))
 
 
+class WordHash(dict):
+    """64 bits of keyed BLAKE2b for each word, worked out when it is first seen; forgets all beyond ``CACHE`` words.
+
+    The key is drawn anew for each run (``secret``), so no text can be written to collide.
+    """
+
+    CACHE = 200_000
+
+    def __init__(self, key: bytes) -> None:
+        super().__init__()
+        self.key = key
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.CACHE:
+            self.clear()
+        self[word] = out = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.key).digest(), "little")
+        return out
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def secret() -> bytes:
+    """A key for the hashes of one run; the driver draws it and the tasks get it with their code."""
+    return uuid.uuid4().bytes
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The union of half-open spans, touching ones joined."""
     out: list[list[int]] = []

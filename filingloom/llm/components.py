@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import materialise
+from filingloom.llm.common import discard, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,6 +28,9 @@ def components(links: DataFrame) -> DataFrame:
         following = passed.join(up, "comp", "left").select("node", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
         following = materialise(following, "cc-labels")
         changed = following.join(labels.withColumnRenamed("comp", "old"), "node").where(F.col("comp") != F.col("old"))
-        if changed.isEmpty():
+        done = changed.isEmpty()
+        discard(labels)
+        if done:
+            discard(edges)
             return following
         labels = following

@@ -1,21 +1,21 @@
 """Suffix-array dedup: remove every byte that lies in a string of ``MATCH`` bytes which starts anywhere else as well.
 
-Repeats are found by a logarithmic family of suffix arrays (``SuffixFamily``): a batch of new text gets a suffix array
-of its own, is merge-scanned against the arrays of all levels for matches of the wanted length, and arrays of one level
-merge into one of the next, so that a suffix is merged log2(batches) times.
+Repeats are found by logarithmic families of suffix arrays (``SuffixFamily``): the corpus comes in ``RANGES`` ranges; the
+texts of each range get a suffix array of their own, which is merge-scanned against the arrays of all levels for long
+matches; then arrays of one level merge into one of the next, so that a suffix is merged log2(ranges) times. What is
+removed is what the scans find, on the bytes themselves.
 
-One array over everything cannot be held, so suffixes are dealt out such that equal strings of MATCH bytes meet: of the
-``SPREAD`` substrings of MATCH - SPREAD + 1 bytes in such a string, the one of the least hash (the first of equals) is
-its anchor, and suffixes with one anchor form one family. Neighbouring suffixes share anchors, so they travel as runs,
-and most runs are settled by counting, with partial sums, before any text is sent:
-
-* an anchor that stands once: nothing of its run repeats;
-* an anchor whose runs are all the same text: all of it repeats;
-* else the distinct texts of its runs, one of each, go into the anchor's family; a text that stands twice repeats whole
-  and serves the others to match against.
+One array over everything cannot be held, so suffixes are dealt out such that equal strings meet: of the ``SPREAD``
+substrings of SEEN - SPREAD + 1 bytes in the first SEEN bytes of a string, the one of the least hash (the first of
+equals) is its anchor, and suffixes with one anchor form one family. Neighbouring suffixes share anchors, so they travel
+as runs. Counts with partial sums keep the rest at home: an anchor that stands once has no repeats, and of runs that
+are one text (by 128 bits of keyed BLAKE2b) two go into the family, which compares their bytes and speaks for all.
 
 An anchor with more than ``HOT`` distinct texts (a passage within very many surroundings) would be too much for one task:
-its strings are told apart by digests that are counted with partial sums instead, which finds the same.
+its strings are told apart by 128-bit digests that are counted with partial sums instead, which finds the same.
+
+Beside removal, passages are told: strings of ``SEEN`` bytes that start elsewhere too mark where a document shares a
+passage that is too short to be removed.
 
 Defined results: null text is empty; matches neither cross rows nor wrap; rows that are equal, also in doc_id, match each
 other; bytes are cut without regard to characters, so what is kept is binary; an empty table gives no rows; further
@@ -24,9 +24,9 @@ columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from zlib import crc32
+from hashlib import blake2b
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,20 +34,20 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import RollingHash, materialise, merged, slices, table
+from filingloom.llm.common import RollingHash, discard, materialise, merged, secret, slices, table
 
-MATCH, SPREAD, HOT = 400, 192, 1000
-#: Bytes of a text that are looked at together, and texts of a batch of the family.
-SEGMENT, BATCH = 1 << 20, 32
+MATCH, SEEN, SPREAD, HOT = 400, 240, 160, 1000
+#: Bytes of a text that are looked at together, ranges of the corpus, and words that a passage exceeds.
+SEGMENT, RANGES, PASSAGE = 1 << 20, 8, 50
 _LOW = np.uint64(0xFFFFFF)
 
 
-def runs(data: bytes, match: int, spread: int, hasher: RollingHash) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor, digest of the run's text, first start, last start) of all runs, segment by segment."""
-    k = match - spread + 1
-    for base in range(0, max(0, len(data) - match + 1), SEGMENT):
-        raw = np.frombuffer(data[base : base + SEGMENT + match - 1], np.uint8)
-        n = len(raw) - match + 1
+def runs(data: bytes, seen: int, spread: int, hasher: RollingHash) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchor, first start, last start) of all runs, segment by segment."""
+    k = seen - spread + 1
+    for base in range(0, max(0, len(data) - seen + 1), SEGMENT):
+        raw = np.frombuffer(data[base : base + SEGMENT + seen - 1], np.uint8)
+        n = len(raw) - seen + 1
         prefix, start = hasher.prefix(raw), np.arange(len(raw) - k + 1)
         hashes = hasher.ranges(prefix, start, start + k)
         keys = (hashes & ~_LOW) | start.astype(np.uint64)
@@ -57,167 +57,219 @@ def runs(data: bytes, match: int, spread: int, hasher: RollingHash) -> Iterator[
         anchor = (np.minimum(after[:n], before[spread - 1 : spread - 1 + n]) & _LOW).astype(np.int64)
         cut = np.flatnonzero(np.diff(anchor)) + 1
         first, last = np.append(0, cut), np.append(cut - 1, n - 1)
-        yield hashes[anchor[first]], hasher.ranges(prefix, first, last + match), base + first, base + last
+        yield hashes[anchor[first]], base + first, base + last
 
 
 class SuffixFamily:
-    """Suffix arrays of growing size over texts; suffixes are compared by, and only needed to, ``match`` bytes."""
-
-    def __init__(self, match: int) -> None:
-        self.match = match
-        #: Per level an array of (suffix, text, start) in order, distinct, or None.
-        self.levels: list[list[tuple[bytes, int, int]] | None] = []
-        self.repeated: set[tuple[int, int]] = set()
-        self.waiting: list[tuple[int, bytes]] = []
+    """Suffix arrays of growing size over the texts of one anchor.
 
-    def add(self, key: int, text: bytes) -> None:
-        self.waiting.append((key, text))
-        if len(self.waiting) >= BATCH:
-            self.flush()
+    A text has ``starts`` suffixes, each of ``match`` bytes or to the text's end; they are compared by those bytes.
+    """
 
-    def _distinct(self, array: list[tuple[bytes, int, int]]) -> list[tuple[bytes, int, int]]:
-        """Neighbours with equal suffixes are repeats; the first of them stays."""
-        out: list[tuple[bytes, int, int]] = []
-        last = None
-        for entry in array:
-            if entry[0] == last:
-                self.repeated.add(out[-1][1:])
-                self.repeated.add(entry[1:])
-            else:
-                out.append(entry)
-                last = entry[0]
-        return out
+    def __init__(self, match: int, seen: int) -> None:
+        self.match, self.seen = match, seen
+        #: Per level an array of (suffix, text, start) in order, or None.
+        self.levels: list[list[tuple[bytes, int, int]] | None] = []
+        self.texts: dict[tuple[bytes, int], int] = {}
+        #: Texts that stand twice, as a whole; starts whose match or shorter string stands twice.
+        self.whole: set[int] = set()
+        self.long: set[tuple[int, int]] = set()
+        self.short: set[tuple[int, int]] = set()
+        self.waiting: list[tuple[int, bytes, int]] = []
+
+    def add(self, text: bytes, starts: int, twice: bool) -> int:
+        """The text's number; a text with the bytes of an earlier one gets that one's."""
+        key = self.texts.get((text, starts))
+        if key is None:
+            key = self.texts[text, starts] = len(self.texts)
+            self.waiting.append((key, text, starts))
+        else:
+            twice = True
+        if twice:
+            self.whole.add(key)
+        return key
 
     def flush(self) -> None:
+        """The waiting texts' array, scanned against all levels and merged into them."""
         m = self.match
-        new = self._distinct(sorted((text[i : i + m], key, i) for key, text in self.waiting for i in range(len(text) - m + 1)))
+        new = sorted((text[i : i + m], key, i) for key, text, starts in self.waiting for i in range(starts))
         self.waiting = []
+        if not new:
+            return
+        self._scan(new)
         for array in filter(None, self.levels):
-            self._scan(array, new)
+            self._scan(sorted(array + new))  # two runs in order: a linear merge
         for i, array in enumerate(self.levels):
             if array is None:
                 self.levels[i] = new
                 return
             self.levels[i] = None
-            new = self._distinct(sorted(array + new))  # two runs in order: a linear merge
+            new = sorted(array + new)
         self.levels.append(new)
 
-    def _scan(self, a: list[tuple[bytes, int, int]], b: list[tuple[bytes, int, int]]) -> None:
-        """Walk two arrays side by side and note the suffixes that both hold."""
-        i, j, na, nb = 0, 0, len(a), len(b)
-        while i < na and j < nb:
-            x, y = a[i][0], b[j][0]
-            if x < y:
-                i += 1
-            elif y < x:
-                j += 1
-            else:
-                self.repeated.add(a[i][1:])
-                self.repeated.add(b[j][1:])
-                i += 1
-                j += 1
+    def _scan(self, array: list[tuple[bytes, int, int]]) -> None:
+        """Neighbours that begin alike. A suffix has its longest match beside it."""
+        m, s = self.match, self.seen
+        for x, y in pairwise(array):
+            a, b = x[0], y[0]
+            if a[:s] == b[:s]:
+                self.short.update((x[1:], y[1:]))
+                if len(a) == m and a == b:
+                    self.long.update((x[1:], y[1:]))
+
+    def spans(self) -> Iterator[tuple[int, list[tuple[int, int]], list[tuple[int, int]]]]:
+        """(text, spans of repeated matches, spans of repeated shorter strings) of the texts that have any."""
+        if self.levels or len(self.waiting) > 1:
+            self.flush()
+        by: dict[int, tuple[list, list]] = {}
+        for which, (found, size) in enumerate(((self.long, self.match), (self.short, self.seen))):
+            for key, i in found:
+                by.setdefault(key, ([], []))[which].append((i, i + size))
+        for (text, starts), key in self.texts.items():
+            if key in self.whole:
+                fit = min(starts, len(text) - self.match + 1)
+                yield key, [(0, fit - 1 + self.match)] if fit > 0 else [], [(0, starts - 1 + self.seen)]
+            elif key in by:
+                yield key, merged(by[key][0]), merged(by[key][1])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("data"))
 
 
-def _survey(match: int, spread: int):
-    """A row for each run: anchor, digest, doc_id, tag (of the text, should a doc_id repeat), first and last start."""
+def _digest(data: bytes, key: bytes) -> np.ndarray:
+    return np.frombuffer(blake2b(data, digest_size=16, key=key).digest(), np.int64)
+
+
+def _tag(data: bytes, key: bytes) -> int:
+    """Tells texts of one doc_id apart."""
+    return int.from_bytes(blake2b(data, digest_size=8, key=key).digest(), "little", signed=True)
+
+
+def _anchors(seen: int, spread: int):
+    """How often each anchor stands, summed within a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RollingHash()
         for batch in slices(batches):
-            columns: list[list[np.ndarray]] = [[] for _ in range(4)]
-            rows, tags, which = [], [], []
+            if parts := [part[0] for data in batch.column("data").to_pylist() for part in runs(data, seen, spread, hasher)]:
+                anchor, n = np.unique(np.concatenate(parts).view(np.int64), return_counts=True)
+                yield pa.record_batch([pa.array(anchor), pa.array(n.astype(np.int64))], names=["anchor", "n"])
+
+    return run
+
+
+def _survey(match: int, seen: int, spread: int, key: bytes):
+    """A row for each run: anchor, digest of its text, doc_id, tag, first start and how many more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = RollingHash()
+        for batch in slices(batches):
+            columns: list[list[np.ndarray]] = [[] for _ in range(3)]
+            digests, rows, tags, which = [], [], [], []
             for i, data in enumerate(batch.column("data").to_pylist()):
-                for part in runs(data, match, spread, hasher):
+                for part in runs(data, seen, spread, hasher):
                     for column, values in zip(columns, part, strict=True):
                         column.append(values)
+                    digests += [blake2b(data[a : b + match] + (b - a).to_bytes(2), digest_size=16, key=key).digest() for a, b in zip(part[1].tolist(), part[2].tolist(), strict=True)]
                     rows.append(len(part[0]))
-                    tags.append(crc32(data))
+                    tags.append(_tag(data, key))
                     which.append(i)
             if not rows:
                 continue
             at = np.repeat(which, rows)
-            anchor, digest, first, last = (np.concatenate(c).view(np.int64) for c in columns)
+            anchor, first, last = (np.concatenate(c).view(np.int64) for c in columns)
+            digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.record_batch(
-                [pa.array(anchor), pa.array(digest), batch.column("doc_id").take(pa.array(at)), pa.array(np.repeat(np.array(tags, np.uint32).view(np.int32), rows)), pa.array(first), pa.array((last - first).astype(np.int16))],
-                names=["anchor", "digest", "doc_id", "tag", "first", "more"],
+                [pa.array(anchor), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), batch.column("doc_id").take(pa.array(at)), pa.array(np.repeat(np.array(tags, np.int64), rows)), pa.array(first), pa.array((last - first).astype(np.int16))],
+                names=["anchor", "d1", "d2", "doc_id", "tag", "first", "more"],
             )
 
     return run
 
 
-def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in slices(batches):
-        data = batch.column("data").to_pylist()
-        tags = np.array([crc32(d) for d in data], np.uint32).view(np.int32)
-        yield pa.record_batch([batch.column("doc_id"), pa.array(tags), pa.array([pack.compress(d) for d in data], pa.binary())], names=["doc_id", "tag", "packed"])
+def _compressed(key: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in slices(batches):
+            data = batch.column("data").to_pylist()
+            yield pa.record_batch([batch.column("doc_id"), pa.array([_tag(d, key) for d in data], pa.int64()), pa.array([pack.compress(d) for d in data], pa.binary())], names=["doc_id", "tag", "packed"])
+
+    return run
+
+
+_PART = {"anchor": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "hot": pa.bool_(), "twice": pa.bool_(), "range": pa.int32(), "more": pa.int16(), "part": pa.binary()}
 
 
 def _extract(match: int):
-    """The texts of wanted runs; of hot anchors, a digest for each string in place of the text."""
+    """The texts of wanted runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        names = ["anchor", "hot", "single", "doc_id", "tag", "start", "part"]
         for batch in slices(batches):
-            out: list[list] = [[] for _ in names]
-            for doc_id, tag, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "packed", "wanted")), strict=True):
+            out: list[list] = [[] for _ in _PART]
+            for part_of, packed, wanted in zip(batch.column("range").to_pylist(), batch.column("packed").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                 data = unpack.decompress(packed)
                 for w in wanted:
-                    text = data[w["first"] : w["first"] + w["more"] + match]
-                    if w["hot"]:
-                        parts = [(w["first"] + i, hashlib.md5(text[i : i + match]).digest()) for i in range(w["more"] + 1)]
-                    else:
-                        parts = [(w["first"], text)]
-                    for start, part in parts:
-                        for column, value in zip(out, (w["anchor"], w["hot"], w["single"], doc_id, tag, start, part), strict=True):
-                            column.append(value)
-            kinds = [pa.int64(), pa.bool_(), pa.bool_(), batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.binary()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+                    first, more = w["first"], w["more"]
+                    for column, value in zip(out, (w["anchor"], w["d1"], w["d2"], w["hot"], w["twice"], part_of, more, data[first : first + more + match]), strict=True):
+                        column.append(value)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, _PART.values(), strict=True)], names=list(_PART))
 
     return run
 
 
-def _families(match: int):
-    """Repeated spans of the single texts; rows come sorted by anchor."""
+def _families(match: int, seen: int):
+    """Repeated spans of the texts; rows come sorted by anchor and range of the corpus. Spans are flat: start, end, ..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, anchor, owners = SuffixFamily(match), None, []
-        kind = None
-
-        def spans() -> list[tuple]:
-            if family.waiting:
-                family.flush()
-            by_text: dict[int, list[tuple[int, int]]] = {}
-            for key, at in family.repeated:
-                if owners[key] is not None:
-                    start = owners[key][2] + at
-                    by_text.setdefault(key, []).append((start, start + match))
-            return [(*owners[key][:2], a, b) for key, own in by_text.items() for a, b in merged(own)]
-
-        def give(found: list[tuple]) -> pa.RecordBatch:
-            kinds = (kind, pa.int32(), pa.int64(), pa.int64())
-            return pa.record_batch([pa.array([f[i] for f in found], kinds[i]) for i in range(4)], names=["doc_id", "tag", "start", "end"])
-
+        family, anchor, part_of, names = SuffixFamily(match, seen), None, None, {}
         found: list[tuple] = []
+
+        def close() -> None:
+            for key, gone, shared in family.spans():
+                found.append((anchor, *names[key], [x for s in gone for x in s], [x for s in shared for x in s]))
+
+        def give() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            return pa.record_batch([pa.array([f[i] for f in found], kinds[i]) for i in range(5)], names=["anchor", "d1", "d2", "gone", "shared"])
+
         for batch in slices(batches):
-            kind = batch.schema.field("doc_id").type
-            for a, single, doc_id, tag, start, part in zip(*(batch.column(c).to_pylist() for c in ("anchor", "single", "doc_id", "tag", "start", "part")), strict=True):
+            for a, r, d1, d2, twice, more, part in zip(*(batch.column(c).to_pylist() for c in ("anchor", "range", "d1", "d2", "twice", "more", "part")), strict=True):
                 if a != anchor:
                     if anchor is not None:
-                        found += spans()
-                    family, anchor, owners = SuffixFamily(match), a, []
-                family.add(len(owners), part)
-                owners.append((doc_id, tag, start) if single else None)
+                        close()
+                    family, anchor, names = SuffixFamily(match, seen), a, {}
+                elif r != part_of:
+                    family.flush()
+                part_of = r
+                names.setdefault(family.add(part, more + 1, twice), (d1, d2))
             if len(found) > 10_000:
-                yield give(found)
+                yield give()
                 found = []
         if anchor is not None:
-            yield give(found + spans())
+            close()
+        yield give()
+
+    return run
+
+
+def _strings(match: int, seen: int, key: bytes):
+    """A digest for each string of hot texts: of match bytes and, if shorter ones are asked for, of seen bytes."""
+    sizes = (match,) if seen == match else (match, seen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["s1", "s2", "anchor", "d1", "d2", "at", "long", "n"]
+        kinds = [pa.int64()] * 5 + [pa.int32(), pa.bool_(), pa.int32()]
+        for batch in slices(batches, 64):
+            out: list[list] = [[] for _ in names]
+            for a, d1, d2, twice, more, part in zip(*(batch.column(c).to_pylist() for c in ("anchor", "d1", "d2", "twice", "more", "part")), strict=True):
+                for size in sizes:
+                    for i in range(min(more + 1, len(part) - size + 1)):
+                        s1, s2 = _digest(part[i : i + size] + size.to_bytes(4), key).tolist()
+                        for column, value in zip(out, (s1, s2, a, d1, d2, i, size == match, 2 if twice else 1), strict=True):
+                            column.append(value)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
     return run
 
@@ -225,67 +277,80 @@ def _families(match: int):
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for batch in slices(batches):
-        out: tuple[list, list, list, list] = ([], [], [], [])
+        out: list[list] = [[] for _ in range(5)]
         for packed, spans in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             data = unpack.decompress(packed)
-            gone = merged([(s["start"], s["end"]) for s in spans or ()])
+            gone, shared = (merged([(s["first"] + a, s["first"] + b) for s in spans or () for a, b in zip(s[which][::2], s[which][1::2], strict=True)]) for which in ("gone", "shared"))
             kept, at = [], 0
             for a, b in gone:
                 kept.append(data[at:a])
                 at = b
             kept.append(data[at:])
-            for column, value in zip(out, (b"".join(kept), len(data), sum(b - a for a, b in gone), len(gone)), strict=True):
+            passages = sum(len(data[a:b].split()) > PASSAGE for a, b in shared)
+            for column, value in zip(out, (b"".join(kept), len(data), sum(b - a for a, b in gone), len(gone), passages), strict=True):
                 column.append(value)
-        yield pa.record_batch([batch.column("doc_id"), pa.array(out[0], pa.binary()), *(pa.array(c, pa.int64()) for c in out[1:])], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+        yield pa.record_batch([batch.column("doc_id"), pa.array(out[0], pa.binary()), *(pa.array(c, pa.int64()) for c in out[1:])], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "n_passages"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, spread: int = SPREAD) -> DataFrame:
-    """doc_id, tag, start, end of repeated bytes; spans of one text may overlap."""
-    rows = _keyed(docs, id_col, text_col)
+def repeated_spans(rows: DataFrame, key: bytes, match: int, seen: int, spread: int) -> DataFrame:
+    """doc_id, tag, spans of repeated strings (first, gone and shared after it) of the documents (doc_id, data) that have any."""
     kind = dict(rows.dtypes)["doc_id"]
-    long_enough = rows.where(F.octet_length("data") >= match)
-    found = long_enough.mapInArrow(_survey(match, spread), f"anchor bigint, digest bigint, doc_id {kind}, tag int, first bigint, more smallint")
-    anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("d1"), F.max("digest").alias("d2"))
+    long_enough = rows.where(F.octet_length("data") >= seen)
+    counts = long_enough.mapInArrow(_anchors(seen, spread), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
     # Written, so that the join below does not share the aggregate's partitioning and a hot anchor's rows can be split.
-    anchors = materialise(anchors.where(F.col("n") > 1).select("anchor", (F.col("d1") == F.col("d2")).alias("alike")), "suffix-anchors")
+    anchors = materialise(counts.where(F.col("n") > 1).select("anchor"), "suffix-anchors")
+    found = long_enough.mapInArrow(_survey(match, seen, spread, key), f"anchor bigint, d1 bigint, d2 bigint, doc_id {kind}, tag bigint, first bigint, more smallint")
     met = materialise(found.join(anchors, "anchor"), "suffix-runs")
-    end = F.col("first") + F.col("more") + match
-    spans = met.where("alike").select("doc_id", "tag", F.col("first").alias("start"), end.alias("end"))
+    discard(anchors)
 
-    unlike = met.where(~F.col("alike"))
+    of_text = ["anchor", "d1", "d2"]
     one = F.struct("doc_id", "tag", "first", "more")
-    texts = materialise(unlike.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one")), "suffix-texts")
-    twice = texts.where(F.col("n") > 1).select("anchor", "digest")
-    spans = spans.unionByName(unlike.join(twice, ["anchor", "digest"]).select("doc_id", "tag", F.col("first").alias("start"), end.alias("end")))
-
-    hot = texts.groupBy("anchor").agg((F.count(F.lit(1)) > HOT).alias("hot"))
-    wanted = texts.join(hot, "anchor").select("one.doc_id", "one.tag", F.struct("anchor", "hot", (F.col("n") == 1).alias("single"), "one.first", "one.more").alias("w"))
-    wanted = wanted.groupBy("doc_id", "tag").agg(F.collect_list("w").alias("wanted"))
-    packed = long_enough.mapInArrow(_compressed, f"doc_id {kind}, tag int, packed binary")
-    other = wanted.select(F.col("doc_id").alias("id2"), F.col("tag").alias("tag2"), "wanted")
-    joined = packed.join(other, packed["doc_id"].eqNullSafe(F.col("id2")) & (packed["tag"] == F.col("tag2"))).select("doc_id", "tag", "packed", "wanted")
-    parts = joined.mapInArrow(_extract(match), f"anchor bigint, hot boolean, single boolean, doc_id {kind}, tag int, start bigint, part binary")
-    parts = materialise(parts, "suffix-parts")
-
-    dealt = parts.where(~F.col("hot")).select("anchor", "single", "doc_id", "tag", "start", "part").repartition("anchor").sortWithinPartitions("anchor")
-    spans = spans.unionByName(dealt.mapInArrow(_families(match), f"doc_id {kind}, tag int, start bigint, end bigint"))
-    strings = parts.where("hot").select("part", "single", "doc_id", "tag", "start")
-    again = strings.groupBy("part").agg((F.count(F.lit(1)) > 1).alias("again")).where("again").select("part")
-    hits = strings.join(again, "part").where("single").select("doc_id", "tag", "start", (F.col("start") + match).alias("end"))
-    return spans.unionByName(hits)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, spread: int = SPREAD) -> DataFrame:
-    """doc_id, kept (binary), n_bytes, n_removed and n_spans of each row."""
-    rows = _keyed(docs, id_col, text_col)
+    texts = materialise(met.groupBy(*of_text).agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("lo"), F.max(one).alias("hi")), "suffix-texts")
+    hot = materialise(texts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot")), "suffix-hot")
+    # Two holders of a text that has several; one where they are the same row, repeated, and of hot anchors.
+    holders = texts.join(hot, "anchor", "left").withColumn("hot", F.col("hot").isNotNull())
+    both = (F.col("n") > 1) & ~F.col("hot") & (F.col("lo") != F.col("hi"))
+    holders = holders.select(*of_text, "hot", ((F.col("n") > 1) & ~both).alias("twice"), F.explode(F.when(both, F.array("lo", "hi")).otherwise(F.array("lo"))).alias("of"))
+    wanted = holders.groupBy(F.col("of.doc_id").alias("id2"), F.col("of.tag").alias("tag2")).agg(F.collect_list(F.struct(*of_text, "hot", "twice", "of.first", "of.more")).alias("wanted"))
+    packed = long_enough.mapInArrow(_compressed(key), f"doc_id {kind}, tag bigint, packed binary")
+    part_of = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(RANGES)).cast("int").alias("range")
+    joined = packed.join(wanted, packed["doc_id"].eqNullSafe(F.col("id2")) & (packed["tag"] == F.col("tag2"))).select(part_of, "packed", "wanted")
+    parts = materialise(joined.mapInArrow(_extract(match), "anchor bigint, d1 bigint, d2 bigint, hot boolean, twice boolean, range int, more smallint, part binary"), "suffix-parts")
+    discard(texts)
+
+    dealt = parts.where(~F.col("hot")).repartition("anchor").sortWithinPartitions("anchor", "range")
+    classes = dealt.mapInArrow(_families(match, seen), "anchor bigint, d1 bigint, d2 bigint, gone array<int>, shared array<int>")
+    if not hot.isEmpty():
+        strings = parts.where("hot").mapInArrow(_strings(match, seen, key), "s1 bigint, s2 bigint, anchor bigint, d1 bigint, d2 bigint, at int, long boolean, n int")
+        strings = materialise(strings, "suffix-strings")
+        again = strings.groupBy("s1", "s2").agg(F.sum("n").alias("m")).where(F.col("m") > 1).select("s1", "s2")
+        hits = strings.join(materialise(again, "suffix-again"), ["s1", "s2"])
+        spans = lambda which, size: F.flatten(F.collect_list(F.when(which, F.array(F.col("at"), F.col("at") + size))))
+        classes = classes.unionByName(hits.groupBy(*of_text).agg(spans(F.col("long"), match).alias("gone"), spans(F.lit(True) if seen == match else ~F.col("long"), seen).alias("shared")))
+    classes = materialise(classes, "suffix-classes")
+    discard(parts, hot)
+    spans = met.join(classes, of_text).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "gone", "shared")).alias("spans"))
+    spans = materialise(spans, "suffix-spans")
+    discard(met, classes)
+    return spans
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, seen: int | None = None, spread: int | None = None) -> DataFrame:
+    """doc_id, kept (binary), n_bytes, n_removed, n_spans and n_passages of each row.
+
+    seen: the least bytes of a shared passage, at most ``match``; n_passages counts the stretches of over 50 words that
+    lie in such strings. spread: how many starts may share an anchor; it changes the cost only.
+    """
+    seen = min(match, SEEN) if seen is None else seen
+    spread = min(SPREAD, seen // 2) if spread is None else spread
+    rows, key = _keyed(docs, id_col, text_col), secret()
     kind = dict(rows.dtypes)["doc_id"]
-    spans = repeated_spans(docs, id_col, text_col, match, spread).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    other = spans.select(F.col("doc_id").alias("id2"), F.col("tag").alias("tag2"), "spans")
-    packed = rows.mapInArrow(_compressed, f"doc_id {kind}, tag int, packed binary")
-    joined = packed.join(other, packed["doc_id"].eqNullSafe(F.col("id2")) & (packed["tag"] == F.col("tag2")), "left").select("doc_id", "packed", "spans")
-    return joined.mapInArrow(_remove, f"doc_id {kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    spans = repeated_spans(rows, key, match, seen, spread).withColumnsRenamed({"doc_id": "id2", "tag": "tag2"})
+    packed = rows.mapInArrow(_compressed(key), f"doc_id {kind}, tag bigint, packed binary")
+    joined = packed.join(spans, packed["doc_id"].eqNullSafe(F.col("id2")) & (packed["tag"] == F.col("tag2")), "left").select("doc_id", "packed", "spans")
+    return joined.mapInArrow(_remove, f"doc_id {kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, n_passages bigint")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages")

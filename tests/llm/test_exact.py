@@ -226,40 +226,78 @@ def test_jaccard_join_keeps_one(spark):
 # --- 9: suffix-array dedup
 
 
-def brute_repeats(docs, match):
-    seen = Counter(d[i : i + match] for d in docs for i in range(len(d) - match + 1))
+def brute_repeats(docs, match, seen=None):
+    count = {n: Counter(d[i : i + n] for d in docs for i in range(len(d) - n + 1)) for n in {match, seen or match}}
     out = Counter()
     for d in docs:
-        gone = merged([(i, i + match) for i in range(len(d) - match + 1) if seen[d[i : i + match]] > 1])
+        spans = {n: merged([(i, i + n) for i in range(len(d) - n + 1) if of[d[i : i + n]] > 1]) for n, of in count.items()}
         kept, at = b"", 0
-        for a, b in gone:
+        for a, b in spans[match]:
             kept, at = kept + d[at:a], b
-        out[len(d), sum(b - a for a, b in gone), len(gone), kept + d[at:]] += 1
+        out[len(d), sum(b - a for a, b in spans[match]), len(spans[match]), kept + d[at:], sum(len(d[a:b].split()) > 50 for a, b in spans[seen or match])] += 1
     return out
 
 
-@pytest.mark.parametrize(("hot", "batch"), [(1000, 32), (1, 32), (1000, 2)])
-def test_suffix_dedup(spark, monkeypatch, hot, batch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+def repeats(df):
+    return Counter((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.n_passages) for r in df.collect())
+
+
+def repeating_docs():
     rng = random.Random(6)
     docs = corpus(seed=1, n=30)
-    passage = words(rng, 60)
-    docs += [(700 + i, words(rng, 20) + passage[rng.randrange(40) : 300 + rng.randrange(40)] + words(rng, 20), "en", "s", 1) for i in range(12)]
-    docs += [(0, docs[0][1] + " more", "en", "s", 1), (None, docs[4][1], "en", "s", 1)]
-    got = suffix_dedup.remove_repeats(frame(spark, docs, clash=True), match=60, spread=25)
-    want = brute_repeats([(d[1] or "").encode() for d in docs], 60)
-    assert Counter((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == want
+    passage = words(rng, 160)
+    docs += [(700 + i, words(rng, 20) + passage[rng.randrange(40) : 300 + rng.randrange(400)] + words(rng, 20), "en", "s", 1) for i in range(12)]
+    return docs + [(0, docs[0][1] + " more", "en", "s", 1), (None, docs[4][1], "en", "s", 1), (None, docs[5][1], "en", "s", 1), docs[6]]
+
+
+@pytest.mark.parametrize(("hot", "ranges", "seen"), [(1000, 8, 60), (1, 8, 60), (1000, 1, 45), (1, 2, 45), (3, 64, 45)])
+def test_suffix_dedup(spark, monkeypatch, hot, ranges, seen):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "RANGES", ranges)
+    docs = repeating_docs()
+    got = suffix_dedup.remove_repeats(frame(spark, docs, clash=True), match=60, seen=seen, spread=25)
+    assert repeats(got) == brute_repeats([(d[1] or "").encode() for d in docs], 60, seen)
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_suffix_dedup_as_registered(spark, tmp_path):
+    """The query with its own lengths, digests included."""
+    docs = repeating_docs()
+    folder = save({"documents": frame(spark, docs, clash=True)}, tmp_path)
+    got = Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages) for r in suffix_dedup.op9_suffix_dedup(spark, folder).collect())
+    want = brute_repeats([(d[1] or "").encode() for d in docs], 400, 240)
+    assert got == Counter({(*k[:3], hashlib.sha256(k[3]).hexdigest(), k[4]): n for k, n in want.items()})
+    assert any(k[1] and k[1] < k[0] for k in want) and any(k[4] and not k[1] for k in want)
+
+
+def test_suffix_removal_passes_through_the_families(spark, monkeypatch):
+    """Without what the suffix arrays find, nothing is removed."""
+    docs = repeating_docs()
+    monkeypatch.setattr(suffix_dedup, "_families", lambda match, seen: lambda batches: (b.slice(0, 0).select(["anchor", "d1", "d2"]).append_column("gone", suffix_dedup.pa.array([], "list<int32>")) for b in ()))
+    assert all(r.n_removed == 0 for r in suffix_dedup.remove_repeats(frame(spark, docs), match=60, seen=45, spread=25).collect())
+
+
+def test_suffix_family_by_levels():
+    """New texts are scanned against the arrays of all levels; arrays of one level merge."""
+    rng = random.Random(12)
+    texts = [bytes(rng.choice(b"ab") for _ in range(40)) for _ in range(13)]
+    family = suffix_dedup.SuffixFamily(8, 6)
+    for i, t in enumerate(texts):
+        family.add(t, len(t) - 6 + 1, False)
+        family.flush()
+        assert [n is not None for n in family.levels] == [bool((i + 1) >> k & 1) for k in range((i + 1).bit_length())]
+    whole = Counter(t[i : i + n] for n in (6, 8) for t in texts for i in range(len(t) - n + 1))
+    assert family.long == {(k, i) for k, t in enumerate(texts) for i in range(len(t) - 7) if whole[t[i : i + 8]] > 1}
+    assert family.short == {(k, i) for k, t in enumerate(texts) for i in range(len(t) - 5) if whole[t[i : i + 6]] > 1}
+
+
 def test_suffix_dedup_in_segments(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 100)
     rng = random.Random(7)
     text = words(rng, 200)
     docs = [(1, text + text[100:400], "en", "s", 1), (2, "é" * 90 + text[333:777], "en", "s", 1)]
     got = suffix_dedup.remove_repeats(frame(spark, docs), match=60, spread=25)
-    assert Counter((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == brute_repeats([d[1].encode() for d in docs], 60)
+    assert repeats(got) == brute_repeats([d[1].encode() for d in docs], 60)
 
 
 # --- 10: mixing
