@@ -15,6 +15,8 @@ How it keeps together at scale:
 * in the second wave, parity bits of the sets go to the meetings first; they bound the overlap from above and leave the
   few pairs whose sets are then walked;
 * the sketch has a fixed size (256 KB as levels); frequent shingles fall to the end of the order, out of the prefixes;
+* hashes are keyed by a secret of the run, and what the trees find counts only after the real shingles of the two texts
+  were compared, so no text can be written to be linked with another;
 * a shingle at which more than ``GROUP`` nodes meet is dealt to blocks: in the first wave at random, in the second as
   all pairs of blocks, so that no task holds more than two blocks and no link is lost;
 * texts travel compressed and only for nodes that may link.
@@ -37,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import RollingHash, byte_table, materialise, slices, table
+from filingloom.llm.common import WordHash, byte_table, discard, materialise, mix64, secret, slices, table
 from filingloom.llm.components import components
 
 CELLS, STRIP = 1 << 18, 256
@@ -51,19 +53,23 @@ def normalised(data: bytes | None) -> bytes:
     return b" ".join(data.translate(WORDS).split()) if data else b""
 
 
-def shingles(text: bytes, k: int, hasher: RollingHash) -> np.ndarray:
+def shingles(text: bytes, k: int, hasher: WordHash) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles of a normalised text; of fewer words, of all of them as one."""
     if not text:
         return np.zeros(0, np.uint64)
-    raw = np.frombuffer(text, np.uint8)
-    gap = np.flatnonzero(raw == 32)
-    start = np.concatenate((np.zeros(1, np.int64), gap + 1))
-    end = np.concatenate((gap, np.array([len(raw)])))
-    if len(start) < k:
-        start, end = start[:1], end[-1:]
-    else:
-        start, end = start[: len(start) - k + 1], end[k - 1 :]
-    return np.unique(hasher.ranges(hasher.prefix(raw), start, end) & HASH_BITS)
+    x = hasher.of(text.split(b" "))
+    width = min(k, len(x))
+    n = len(x) - width + 1
+    out = np.full(n, width, np.uint64)
+    for i in range(width):
+        out = mix64(out + x[i : i + n])
+    return np.unique(out & HASH_BITS)
+
+
+def real_shingles(text: bytes, k: int) -> set[bytes]:
+    """The set itself; words of a normalised text hold no space."""
+    words = text.split(b" ")
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
 
 
 def _cells(tokens: np.ndarray) -> np.ndarray:
@@ -200,11 +206,11 @@ class Sets:
             self.up[max(a, b)] = min(a, b)
 
 
-def _survey(k: int):
+def _survey(k: int, key: bytes):
     """For each row: doc_id, set size and digest; at a task's end: the task's sketch in strips."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sketch, held, waiting = RollingHash(), np.zeros(CELLS, np.int64), [], 0
+        hasher, sketch, held, waiting = WordHash(key), np.zeros(CELLS, np.int64), [], 0
         names = ["doc_id", "n", "sid", "strip", "counts"]
         for batch in slices(batches):
             sizes, digests = [], []
@@ -253,11 +259,11 @@ def _levels(strips: DataFrame) -> np.ndarray:
     return np.where(ratio > 1, np.minimum(31, np.floor(np.log2(np.maximum(ratio, 1))) + 1), 0).astype(np.uint8)
 
 
-def _prefixes(k: int, percent: int, levels: np.ndarray):
+def _prefixes(k: int, percent: int, levels: np.ndarray, key: bytes):
     """doc_id, set digest and size, prefix, mark and compressed text; a task leaves out sets that it has given lately."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, pack, lately = RollingHash(), zstandard.ZstdCompressor(level=9), OrderedDict()
+        hasher, pack, lately = WordHash(key), zstandard.ZstdCompressor(level=9), OrderedDict()
         for batch in slices(batches):
             out: list[list] = [[] for _ in range(6)]
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
@@ -280,11 +286,11 @@ def _prefixes(k: int, percent: int, levels: np.ndarray):
     return run
 
 
-def _walk(k: int, percent: int, levels: np.ndarray):
+def _walk(k: int, percent: int, levels: np.ndarray, secret_key: bytes):
     """Links between the members of each meeting; rows come sorted by (token, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, unpack, sets = RollingHash(), zstandard.ZstdDecompressor(), Sets()
+        hasher, unpack, sets = WordHash(secret_key), zstandard.ZstdDecompressor(), Sets()
         known: OrderedDict[bytes, list[int]] = OrderedDict()
         weight = 0
 
@@ -301,6 +307,11 @@ def _walk(k: int, percent: int, levels: np.ndarray):
                 weight -= len(known.popitem(last=False)[1])
             return tokens
 
+        def alike(a: bytes, b: bytes) -> bool:
+            x, y = (real_shingles(unpack.decompress(body), k) for body in (a, b))
+            both = len(x & y)
+            return 100 * both >= percent * (len(x) + len(y) - both)
+
         def links(members: dict) -> list[tuple[int, int]]:
             if len(members) < 2:
                 return []
@@ -309,13 +320,16 @@ def _walk(k: int, percent: int, levels: np.ndarray):
             roots = {sets.find(node) for node, _ in members}
             if len(roots) < 2:
                 return []
-            rows = sorted(((tokens_of(body), node) for node, body in members), key=lambda r: (len(r[0]), r[1]))
+            rows = sorted(((tokens_of(body), node, body) for node, body in members), key=lambda r: (len(r[0]), r[1]))
+            find = lambda i: sets.find(rows[i][1])
+            same = lambda i, j: sets.same(rows[i][1], rows[j][1])
             tree, found = PrefixTree(), []
-            for tokens, node in rows:
-                for other in tree.similar(tokens, node, percent, sets.find, sets.same):
-                    sets.join(node, other)
-                    found.append((other, node))
-                tree.add(tokens, node, sets.find)
+            for i, (tokens, node, body) in enumerate(rows):
+                for j in tree.similar(tokens, i, percent, find, same):
+                    if alike(body, rows[j][2]):
+                        sets.join(node, rows[j][1])
+                        found.append((rows[j][1], node))
+                tree.add(tokens, i, find)
             return found
 
         key, members, found = None, {}, []
@@ -408,7 +422,9 @@ def _dealt(meetings: DataFrame, given: DataFrame, by: str, *columns: str) -> Dat
 def _links(meetings: DataFrame, given: DataFrame, walk, pairs: bool) -> DataFrame:
     """Verified links among the members of each meeting (token, node, comp)."""
     meetings = materialise(_blocks(meetings, pairs), "jaccard-meetings")
-    return materialise(_dealt(meetings, given, "lead", "body").mapInArrow(walk, "a bigint, b bigint"), "jaccard-links")
+    links = materialise(_dealt(meetings, given, "lead", "body").mapInArrow(walk, "a bigint, b bigint"), "jaccard-links")
+    discard(meetings)
+    return links
 
 
 def _own_links(texts: DataFrame) -> DataFrame:
@@ -419,15 +435,15 @@ def _own_links(texts: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of each row; links: 100 * intersection >= percent * union. Ids are integers."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("data"))
-    survey = materialise(rows.mapInArrow(_survey(k), "doc_id bigint, n bigint, sid binary, strip int, counts binary"), "jaccard-survey")
+    rows, key = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("data")), secret()
+    survey = materialise(rows.mapInArrow(_survey(k, key), "doc_id bigint, n bigint, sid binary, strip int, counts binary"), "jaccard-survey")
     levels = _levels(survey.where(F.col("strip").isNotNull()).select("strip", "counts"))
     named = survey.where(F.col("strip").isNull()).select("doc_id", "n", "sid")
 
-    given = materialise(rows.mapInArrow(_prefixes(k, percent, levels), "node bigint, sid binary, n bigint, prefix array<bigint>, mark binary, body binary"), "jaccard-prefixes")
+    given = materialise(rows.mapInArrow(_prefixes(k, percent, levels, key), "node bigint, sid binary, n bigint, prefix array<bigint>, mark binary, body binary"), "jaccard-prefixes")
     nodes = given.groupBy("sid").agg(F.min("node").alias("node"))
     sets = given.join(nodes, ["sid", "node"])
-    walk = _walk(k, percent, levels)
+    walk = _walk(k, percent, levels, key)
     # Ids with several texts, which link the nodes of their sets. Mostly there are none.
     several = named.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where(F.col("lo") != F.col("hi")).select("doc_id")
     several = materialise(several, "jaccard-several")
@@ -446,10 +462,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     second = every.join(labels, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
     meetings = materialise(_blocks(second, True), "jaccard-meetings")
     pairs = materialise(_dealt(meetings, given, "token", "n", "mark").mapInArrow(_pairs(percent), "a bigint, b bigint").distinct(), "jaccard-pairs")
+    discard(meetings, every)
     # Those that may link with a node meet at it.
     third = pairs.select(F.col("a").alias("token"), F.col("b").alias("node")).unionByName(pairs.select(F.col("a").alias("token"), F.col("a").alias("node")).distinct())
     third = third.join(labels, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
-    links = links.unionByName(_links(third, given, walk, True))
+    more = _links(third, given, walk, True)
+    discard(pairs, labels)
+    links = links.unionByName(more)
     labels = components(links)
 
     # A set's node need not be its smallest document, nor the component's label.
@@ -462,7 +481,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if repeated:  # an empty text goes with the other texts of its id
         of_id = named.join(several, "doc_id").join(final, "sid").groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
         out, alone = out.join(of_id, "doc_id", "left"), F.coalesce("of_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, alone).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, alone).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).alias("component_id"))
+    out = materialise(out, "jaccard-components")
+    discard(survey, given, several, labels)
+    return out
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -216,6 +216,25 @@ def test_jaccard_join(spark, monkeypatch, group):
     assert got == brute_components(docs, 4, 85)
 
 
+def test_unlike_words_are_not_linked(spark, tmp_path):
+    """A word of 1,024 letters after Thue and Morse and its complement cancel in polynomial hashes modulo 2**64."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    docs = [(1, word, "en", "s", 1), (2, word.translate(str.maketrans("ab", "ba")), "en", "s", 1), (3, f"x {word} y z", "en", "s", 1), (4, f"X {word}\ty z", "en", "s", 1)]
+    folder = save({"documents": frame(spark, docs)}, tmp_path)
+    assert {tuple(r) for r in jaccard_join.op8_jaccard_join(spark, folder).collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 3)}
+
+
+def test_links_are_confirmed_on_real_shingles(spark, monkeypatch):
+    """Whatever the hashes of unlike shingles, the trees' links count only if the texts bear them out."""
+    docs = corpus(seed=2, n=24)
+    monkeypatch.setattr(jaccard_join, "real_shingles", lambda text, k: {text})
+    got = jaccard_join.jaccard_components(frame(spark, docs), k=4, percent=85).collect()
+    equal = [(d[0], " ".join(low(d[1] or "").split()), "", "", 0) for d in docs]
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter((i, c) for (i, _, c), n in brute_components(equal, 10_000, 100).items() for _ in range(n))
+
+
 def test_jaccard_join_keeps_one(spark):
     docs = corpus(seed=4)
     kept = jaccard_join.keep_one(frame(spark, docs + [(None, docs[0][1], "en", "s", 1)])).collect()
