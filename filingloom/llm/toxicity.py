@@ -8,8 +8,9 @@ Learning takes at most ``SAMPLE`` labelled rows. Half of them, told apart by a h
 (counted on the executors, at most ``TERMS`` terms kept); of the others three quarters fit the trees and one quarter the
 calibration. Scoring is one pass over the documents without a shuffle.
 
-Defined results: null and empty texts get a score from features that are all 0; without labels every score is the
-prior of 0; null labels are not used; repeated rows are scored row by row; further columns are ignored.
+Defined results: null and empty texts get a score from features that are all 0; without labels of both kinds (no
+labels, labels of other documents, all of one kind) there is no model: every score is 0 and no document is rejected;
+null labels are not used; repeated rows are scored row by row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -166,8 +167,13 @@ class ToxicityModel:
     calibration: Isotonic
     report: dict = field(default_factory=dict)
 
+    @property
+    def fitted(self) -> bool:
+        """Whether there were labels of both kinds to learn from."""
+        return len(self.forest.feature) > 0
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return self.calibration(self.forest.margin(x))
+        return self.calibration(self.forest.margin(x)) if self.fitted else np.zeros(len(x))
 
 
 def _matrix(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -210,7 +216,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with a score below the threshold, with all their columns."""
+    """The rows of ``docs`` with a score below the threshold, with all their columns; all rows where nothing could be learned."""
+    if not model.fitted:
+        return docs
 
     def keep(batches):
         for batch, x in _matrix(batches, model.lexicon):

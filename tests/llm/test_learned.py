@@ -57,6 +57,26 @@ def test_classifiers_at_the_edges(spark, tmp_path, op):
     assert query(spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("case", ["empty", "unmatched", "all 1", "all 0"])
+def test_toxicity_without_a_model(spark, case):
+    """Labels that teach nothing reject nothing."""
+    labels = {"empty": [], "unmatched": [(9000 + i, i % 2) for i in range(50)], "all 1": [(i, 1) for i in range(40)], "all 0": [(i, 0) for i in range(40)]}[case]
+    docs, labels = frame(spark, corpus(), clash=True), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, toxicity.trained_on(labels))
+    assert not model.fitted
+    rows = docs.select("doc_id", F.lit(False).alias("held_out"), "text")
+    assert {r.score for r in toxicity.score_toxicity(rows, model).collect()} == {0.0}
+    kept = toxicity.drop_toxic(docs, model)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(d[0] for d in corpus()) and kept.columns == docs.columns
+
+
+def test_quality_rules_without_labels(spark):
+    """The base rules alone decide."""
+    docs, none = frame(spark, corpus()), spark.createDataFrame([], "doc_id long, quality int")
+    rows = quality_rules.apply_rules(docs, quality_rules.fit_rules(docs, none, F.lit(True))).collect()
+    assert len(rows) == len(corpus()) and all(r.kept == (not r.base_failed) for r in rows) and any(r.kept for r in rows)
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 4))
