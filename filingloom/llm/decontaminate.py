@@ -5,8 +5,10 @@ length there is a shift table over blocks of two words: it tells how far the sca
 sooner. Where the shift is 0, the bucket of that suffix block lists the windows that end so, told apart by their first
 two words, and a direct comparison of all words confirms an occurrence. Texts are scanned as bytes, whole.
 
-The windows travel with the scan task in blocks of ``BLOCK`` windows. A benchmark of more windows is scanned in several
-blocks over the same documents, and what the blocks find is put together by document; so what a task holds is bounded.
+The distinct windows are worked out on the executors and written to the shared folder. The driver streams them into
+blocks of ``BLOCK`` windows, each broadcast on its own, and holds one block at a time. The documents are scanned once, for
+any number of blocks: a task takes texts of ``CHUNK`` bytes, runs them through block after block and puts together what
+they find; it holds one block and one chunk.
 
 Defined results: null and empty texts have no words; a null or wordless item has no window; repeated items share their
 windows; null item ids are left out of the id list but still mark words; repeated doc_ids are scanned and returned row
@@ -15,18 +17,20 @@ by row; an empty benchmark leaves every document clean; further columns are igno
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import byte_table, merged, slices, table
+from filingloom.llm.common import byte_table, discard, materialise, merged, slices, table
 
 WINDOW = 10
-#: Windows that one scan holds, some 2 KB each with their tables.
-BLOCK = 50_000
+#: Windows of a block, some 2 KB each with their tables, and bytes of text that go through several blocks together.
+BLOCK, CHUNK = 50_000, 16 << 20
 WORDS = byte_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 
 
@@ -94,51 +98,91 @@ class Matcher:
         return merged(spans), items
 
 
-_MATCHERS: dict[bytes, Matcher] = {}
+@dataclass
+class Block:
+    """Windows as (words joined by spaces, item ids), sent to the executors."""
 
+    name: str
+    windows: Broadcast
 
-def _matcher(key: bytes, windows: list) -> Matcher:
-    """Built once in a worker, not once for each task."""
-    if key not in _MATCHERS:
+    def matcher(self, keep: bool) -> Matcher:
+        """keep: it is the only block, so it is built once in a worker, not once for each task."""
+        if self.name in _MATCHERS:
+            return _MATCHERS[self.name]
         _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(windows)
-    return _MATCHERS[key]
-
-
-def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW) -> Iterator[list]:
-    """Blocks of at most ``BLOCK`` windows (more only where one item has more); items are streamed, not collected."""
-    block: dict[tuple[bytes, ...], list] = {}
-    for row in benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("binary")).toLocalIterator():
-        for p in windows_of(words_of(bytes(row[1]) if row[1] is not None else None), width):
-            ids = block.setdefault(p, [])
-            if row[0] is not None and row[0] not in ids:
-                ids.append(row[0])
-        if len(block) >= BLOCK:
-            yield list(block.items())
-            block = {}
-    if block:
-        yield list(block.items())
+        made = Matcher([(tuple(w.split(b" ")), ids) for w, ids in self.windows.value])
+        vars(self.windows).pop("_value", None)  # it lies on disk; the next who needs it reads it again
+        if keep:
+            _MATCHERS[self.name] = made
+        return made
 
 
-def _scanner(windows: list, text_col: str, keep_clean: bool):
-    key = hashlib.md5(repr(windows).encode()).digest()
+_MATCHERS: dict[str, Matcher] = {}
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(key, windows)
+
+def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
+    """words (joined by spaces), ids (those of the items that have the window, sorted): a row for each distinct window."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            n_words, spans, items = [], [], []
-            for data in batch.column(text_col).cast(pa.binary()).to_pylist():
-                words = words_of(data)
-                found, ids = matcher.scan(words)
-                n_words.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in found])
-                items.append(sorted(ids))
+            out = [(i, b" ".join(p)) for i, data in zip(*(batch.column(c).to_pylist() for c in ("id", "data")), strict=True) for p in windows_of(words_of(data), width)]
+            yield pa.record_batch([pa.array([w for _, w in out], pa.binary()), pa.array([i for i, _ in out], pa.string())], names=["words", "id"])
+
+    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("data"))
+    return rows.mapInArrow(windows, "words binary, id string").groupBy("words").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
+def blocks_of(windows: DataFrame) -> list[Block]:
+    """The windows in blocks of at most ``BLOCK``, sent one after another; without windows one empty block."""
+    written, blocks, block = materialise(windows, "benchmark-windows"), [], []
+    send = lambda: blocks.append(Block(uuid.uuid4().hex, windows.sparkSession.sparkContext.broadcast(block)))
+    for row in written.toLocalIterator():
+        block.append((bytes(row["words"]), list(row["ids"])))
+        if len(block) >= BLOCK:
+            send()
+            block = []
+    if block or not blocks:
+        send()
+    discard(written)
+    return blocks
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """Arrow batches put together to ``CHUNK`` bytes of text."""
+    held, size = [], 0
+    for batch in slices(batches):
+        held.append(batch)
+        size += batch.column(text_col).nbytes
+        if size >= CHUNK:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _scanner(blocks: list[Block], text_col: str, keep_clean: bool):
+    alone = len(blocks) == 1
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches) if alone else _chunks(batches, text_col):
+            texts = batch.column(text_col).cast(pa.binary()).to_pylist()
+            n_words, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+            for block in blocks:
+                matcher = block.matcher(alone)
+                for i, data in enumerate(texts):
+                    if keep_clean and spans[i]:
+                        continue
+                    words = words_of(data)
+                    found, ids = matcher.scan(words)
+                    n_words[i] = len(words)
+                    spans[i] += found
+                    items[i] |= ids
             if keep_clean:
-                clean = pa.array([not s for s in spans], pa.bool_())
-                yield batch.filter(clean)
+                yield batch.filter(pa.array([not s for s in spans], pa.bool_()))
                 continue
+            hits = [[{"start": a, "end": b} for a, b in merged(s)] for s in spans]
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
+                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(s) for s in items], pa.list_(pa.string()))],
                 names=["doc_id", "n_words", "spans", "item_ids"],
             )
 
@@ -149,41 +193,12 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """One row for each row of ``docs``: doc_id, n_words, spans of hit words, item_ids sorted as strings."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("scan_bytes"))
     kind = dict(rows.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, item_ids array<string>"
-    blocks = list(benchmark_windows(benchmark)) or [[]]
-    if len(blocks) == 1:
-        return rows.mapInArrow(_scanner(blocks[0], "scan_bytes", False), schema)
-    # Equal rows of a document find the same, so the blocks' results meet by id and row digest.
-    rows = rows.withColumn("doc_id", F.struct("doc_id", F.sha2(F.col("scan_bytes"), 256).alias("digest")))
-    wide = schema.replace(f"doc_id {kind}", f"doc_id struct<doc_id:{kind},digest:string>", 1)
-    found = None
-    for i, block in enumerate(blocks):
-        part = rows.mapInArrow(_scanner(block, "scan_bytes", False), wide).withColumn("block", F.lit(i))
-        found = part if found is None else found.unionByName(part)
-    by_doc = found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), (F.count(F.lit(1)) / len(blocks)).cast("int").alias("copies")
-    )
-    by_doc = by_doc.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return by_doc.select(F.col("doc_id.doc_id").alias("doc_id"), "n_words", _union("spans").alias("spans"), "item_ids")
-
-
-def _union(spans: str):
-    """The union of spans as DataFrame functions."""
-    kind = "array<struct<start:bigint,end:bigint>>"
-
-    def add(acc, s):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (s["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), joined).otherwise(F.concat(acc, F.array(s)))
-
-    return F.aggregate(F.array_sort(spans), F.array().cast(kind), add)
+    return rows.mapInArrow(_scanner(blocks_of(benchmark_windows(benchmark)), "scan_bytes", False), f"doc_id {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, item_ids array<string>")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs, with all their columns."""
-    for block in benchmark_windows(benchmark):
-        docs = docs.mapInArrow(_scanner(block, text_col, True), docs.schema)
-    return docs
+    return docs.mapInArrow(_scanner(blocks_of(benchmark_windows(benchmark)), text_col, True), docs.schema)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

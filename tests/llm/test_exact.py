@@ -33,9 +33,10 @@ def brute_windows(text):
     return w, [tuple(w)] if 0 < len(w) < 10 else [tuple(w[i : i + 10]) for i in range(len(w) - 9)]
 
 
-@pytest.mark.parametrize("block", [50_000, 3])
-def test_decontamination(spark, tmp_path, monkeypatch, block):
+@pytest.mark.parametrize(("block", "chunk"), [(50_000, 1 << 24), (3, 1 << 24), (3, 1000), (1, 1)])
+def test_decontamination(spark, tmp_path, monkeypatch, block, chunk):
     monkeypatch.setattr(decontaminate, "BLOCK", block)
+    monkeypatch.setattr(decontaminate, "CHUNK", chunk)
     docs = corpus()
     rng = random.Random(5)
     long_words = docs[105 - 100 + 40][1].split(" ")
@@ -60,6 +61,18 @@ def test_decontamination(spark, tmp_path, monkeypatch, block):
     assert clean.columns == frame(spark, [], clash=True).columns
 
 
+def test_decontamination_reads_documents_once(spark, tmp_path, monkeypatch, capsys):
+    """However many blocks: one scan, one Python step, no shuffle; a task takes the blocks one by one."""
+    monkeypatch.setattr(decontaminate, "BLOCK", 4)
+    items = spark.createDataFrame([(i, words(random.Random(i), 40)) for i in range(9)], "item_id long, text string")
+    assert len(decontaminate.blocks_of(decontaminate.benchmark_windows(items))) == (9 * 31 + 3) // 4
+    frame(spark, corpus()).write.parquet(f"{tmp_path}/documents.parquet")
+    for df in (decontaminate.find_benchmark(table(spark, str(tmp_path), "documents"), items), decontaminate.drop_contaminated(table(spark, str(tmp_path), "documents"), items)):
+        df.explain()
+        plan = capsys.readouterr().out
+        assert (plan.count("FileScan"), plan.count("MapInArrow"), plan.count("Exchange")) == (1, 1, 0)
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_benchmark(frame(spark, []), none).count() == 0
