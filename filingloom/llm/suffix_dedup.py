@@ -30,13 +30,14 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingloom.llm.common import RollingHash, discard, materialise, merged, secret, slices, table
 
-MATCH, SEEN, SPREAD, HOT = 400, 240, 160, 1000
+MATCH, SEEN, SPREAD, HOT = 400, 272, 176, 1000
 #: Bytes of a text that are looked at together, ranges of the corpus, and words that a passage exceeds.
 SEGMENT, RANGES, PASSAGE = 1 << 20, 8, 50
 _LOW = np.uint64(0xFFFFFF)
@@ -61,7 +62,7 @@ def runs(data: bytes, seen: int, spread: int, hasher: RollingHash) -> Iterator[t
 
 
 class SuffixFamily:
-    """Suffix arrays of growing size over the texts of one anchor.
+    """Suffix arrays of growing size over the texts of one anchor. No two starts of one text match.
 
     A text has ``starts`` suffixes, each of ``match`` bytes or to the text's end; they are compared by those bytes.
     """
@@ -117,20 +118,23 @@ class SuffixFamily:
                 if len(a) == m and a == b:
                     self.long.update((x[1:], y[1:]))
 
-    def spans(self) -> Iterator[tuple[int, list[tuple[int, int]], list[tuple[int, int]]]]:
-        """(text, spans of repeated matches, spans of repeated shorter strings) of the texts that have any."""
-        if self.levels or len(self.waiting) > 1:
+    def spans(self) -> Iterator[tuple[int, tuple[int, int] | None, list[int] | None, list[int] | None]]:
+        """Of the texts with repeats: the text; the ends of both kinds of span where it stands twice as a whole, else its
+        flat spans of repeated matches and of repeated shorter strings."""
+        whole = self.whole
+        if len(whole) < len(self.texts) and len(self.texts) > 1:
             self.flush()
         by: dict[int, tuple[list, list]] = {}
         for which, (found, size) in enumerate(((self.long, self.match), (self.short, self.seen))):
             for key, i in found:
-                by.setdefault(key, ([], []))[which].append((i, i + size))
+                if key not in whole:
+                    by.setdefault(key, ([], []))[which].append((i, i + size))
         for (text, starts), key in self.texts.items():
-            if key in self.whole:
+            if key in whole:
                 fit = min(starts, len(text) - self.match + 1)
-                yield key, [(0, fit - 1 + self.match)] if fit > 0 else [], [(0, starts - 1 + self.seen)]
-            elif key in by:
-                yield key, merged(by[key][0]), merged(by[key][1])
+                yield key, (fit - 1 + self.match if fit > 0 else 0, starts - 1 + self.seen), None, None
+        for key, (long, short) in by.items():
+            yield key, None, [x for s in merged(long) for x in s], [x for s in merged(short) for x in s]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -219,36 +223,54 @@ def _extract(match: int):
     return run
 
 
+#: gone and shared are flat (start, end, ...); where a text stands twice as a whole, the two ends alone are given.
+_CLASS = {"anchor": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "gone_end": pa.int32(), "shared_end": pa.int32(), "gone": pa.list_(pa.int32()), "shared": pa.list_(pa.int32())}
+
+
 def _families(match: int, seen: int):
-    """Repeated spans of the texts; rows come sorted by anchor and range of the corpus. Spans are flat: start, end, ..."""
+    """Repeated spans of the texts; rows come sorted by anchor and range of the corpus."""
+    columns = ("range", "d1", "d2", "twice", "more", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, anchor, part_of, names = SuffixFamily(match, seen), None, None, {}
-        found: list[tuple] = []
+        out: list[list] = [[] for _ in _CLASS]
 
-        def close() -> None:
-            for key, gone, shared in family.spans():
-                found.append((anchor, *names[key], [x for s in gone for x in s], [x for s in shared for x in s]))
-
-        def give() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            return pa.record_batch([pa.array([f[i] for f in found], kinds[i]) for i in range(5)], names=["anchor", "d1", "d2", "gone", "shared"])
+        def tell(anchor: int, d1: int, d2: int, gone_end: int | None, shared_end: int | None, gone: list | None, shared: list | None) -> None:
+            for column, value in zip(out, (anchor, d1, d2, gone_end, shared_end, gone, shared), strict=True):
+                column.append(value)
 
-        for batch in slices(batches):
-            for a, r, d1, d2, twice, more, part in zip(*(batch.column(c).to_pylist() for c in ("anchor", "range", "d1", "d2", "twice", "more", "part")), strict=True):
-                if a != anchor:
-                    if anchor is not None:
-                        close()
-                    family, anchor, names = SuffixFamily(match, seen), a, {}
-                elif r != part_of:
+        def settle(anchor: int, rows: list[tuple]) -> None:
+            """One anchor's family. Each row: range, d1, d2, twice, more, part."""
+            family, names, part_of = SuffixFamily(match, seen), {}, None
+            for of, d1, d2, twice, more, part in rows:
+                if of != part_of and part_of is not None and len(family.texts) > 1:
                     family.flush()
-                part_of = r
+                part_of = of
                 names.setdefault(family.add(part, more + 1, twice), (d1, d2))
-            if len(found) > 10_000:
+            for key, ends, gone, shared in family.spans():
+                tell(anchor, *names[key], *(ends or (None, None)), gone, shared)
+
+        def give() -> pa.RecordBatch:
+            made = pa.record_batch([pa.array(c, t) for c, t in zip(out, _CLASS.values(), strict=True)], names=list(_CLASS))
+            for column in out:
+                column.clear()
+            return made
+
+        anchor, rows = None, []
+        for batch in slices(batches, 2048):
+            anchors = batch.column("anchor").to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(anchors)) + 1).tolist(), len(anchors)]
+            every = list(zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
+            for a, b in zip(cut, cut[1:], strict=False):
+                if anchors[a] != anchor:
+                    if rows:
+                        settle(anchor, rows)
+                    anchor, rows = int(anchors[a]), every[a:b]
+                else:
+                    rows += every[a:b]
+            if len(out[0]) > 10_000:
                 yield give()
-                found = []
-        if anchor is not None:
-            close()
+        if rows:
+            settle(anchor, rows)
         yield give()
 
     return run
@@ -274,26 +296,44 @@ def _strings(match: int, seen: int, key: bytes):
     return run
 
 
+def _joined(flat: np.ndarray) -> list[tuple[int, int]]:
+    """The union of spans given flat."""
+    if len(flat) == 0:
+        return []
+    start, end = flat[::2], flat[1::2]
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(start[1:] > end[:-1]) + 1
+    return list(zip(start[np.append(0, new)].tolist(), end[np.append(new - 1, len(end) - 1)].tolist(), strict=True))
+
+
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The lists of a column, null ones empty."""
+    values, at = column.flatten().to_numpy(), 0
+    for n in pc.fill_null(pc.list_value_length(column), 0).to_pylist():
+        yield values[at : at + n]
+        at += n
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for batch in slices(batches):
         out: list[list] = [[] for _ in range(5)]
-        for packed, spans in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            data = unpack.decompress(packed)
-            gone, shared = (merged([(s["first"] + a, s["first"] + b) for s in spans or () for a, b in zip(s[which][::2], s[which][1::2], strict=True)]) for which in ("gone", "shared"))
+        for packed, gone, shared in zip(batch.column("packed").to_pylist(), _lists(batch.column("gone")), _lists(batch.column("shared")), strict=True):
+            data, gone = unpack.decompress(packed), _joined(gone)
             kept, at = [], 0
             for a, b in gone:
                 kept.append(data[at:a])
                 at = b
             kept.append(data[at:])
-            passages = sum(len(data[a:b].split()) > PASSAGE for a, b in shared)
+            passages = sum(len(data[a:b].split()) > PASSAGE for a, b in _joined(shared))
             for column, value in zip(out, (b"".join(kept), len(data), sum(b - a for a, b in gone), len(gone), passages), strict=True):
                 column.append(value)
         yield pa.record_batch([batch.column("doc_id"), pa.array(out[0], pa.binary()), *(pa.array(c, pa.int64()) for c in out[1:])], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "n_passages"])
 
 
 def repeated_spans(rows: DataFrame, key: bytes, match: int, seen: int, spread: int) -> DataFrame:
-    """doc_id, tag, spans of repeated strings (first, gone and shared after it) of the documents (doc_id, data) that have any."""
+    """doc_id, tag, gone and shared (flat spans, which may overlap) of the documents (doc_id, data) with repeats."""
     kind = dict(rows.dtypes)["doc_id"]
     long_enough = rows.where(F.octet_length("data") >= seen)
     counts = long_enough.mapInArrow(_anchors(seen, spread), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
@@ -319,22 +359,38 @@ def repeated_spans(rows: DataFrame, key: bytes, match: int, seen: int, spread: i
     discard(texts)
 
     dealt = parts.where(~F.col("hot")).repartition("anchor").sortWithinPartitions("anchor", "range")
-    classes = dealt.mapInArrow(_families(match, seen), "anchor bigint, d1 bigint, d2 bigint, gone array<int>, shared array<int>")
+    kinds = "anchor bigint, d1 bigint, d2 bigint, gone_end int, shared_end int, gone array<int>, shared array<int>"
+    classes = dealt.mapInArrow(_families(match, seen), kinds)
     if not hot.isEmpty():
-        strings = parts.where("hot").mapInArrow(_strings(match, seen, key), "s1 bigint, s2 bigint, anchor bigint, d1 bigint, d2 bigint, at int, long boolean, n int")
-        strings = materialise(strings, "suffix-strings")
-        again = strings.groupBy("s1", "s2").agg(F.sum("n").alias("m")).where(F.col("m") > 1).select("s1", "s2")
-        hits = strings.join(materialise(again, "suffix-again"), ["s1", "s2"])
-        spans = lambda which, size: F.flatten(F.collect_list(F.when(which, F.array(F.col("at"), F.col("at") + size))))
-        classes = classes.unionByName(hits.groupBy(*of_text).agg(spans(F.col("long"), match).alias("gone"), spans(F.lit(True) if seen == match else ~F.col("long"), seen).alias("shared")))
+        classes = classes.unionByName(_by_digests(parts.where("hot"), match, seen, key))
     classes = materialise(classes, "suffix-classes")
     discard(parts, hot)
-    spans = met.join(classes, of_text).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "gone", "shared")).alias("spans"))
+    absolute = lambda which: F.transform(F.coalesce(which, F.array(F.lit(0), F.col(f"{which}_end"))), lambda x: x + F.col("first"))
+    some = lambda which: F.when((F.size(which) > 0) | (F.col(f"{which}_end") > 0), absolute(which))
+    spans = met.join(classes, of_text).select("doc_id", "tag", *(some(which).alias(which) for which in ("gone", "shared")))
+    spans = spans.groupBy("doc_id", "tag").agg(*(F.flatten(F.collect_set(which)).alias(which) for which in ("gone", "shared")))
     spans = materialise(spans, "suffix-spans")
     discard(met, classes)
     return spans
 
 
+def _by_digests(texts: DataFrame, match: int, seen: int, key: bytes) -> DataFrame:
+    """What ``_families`` gives, of texts of hot anchors: their strings without those whose digest stands once."""
+    strings = texts.mapInArrow(_strings(match, seen, key), "s1 bigint, s2 bigint, anchor bigint, d1 bigint, d2 bigint, at int, long boolean, n int")
+    once = strings.groupBy("s1", "s2").agg(F.sum("n").alias("n"), F.min(F.struct("anchor", "d1", "d2", "at", "long")).alias("of")).where(F.col("n") == 1).select("of.*")
+    once = once.groupBy("anchor", "d1", "d2").agg(F.collect_list(F.when(F.col("long"), F.col("at"))).alias("not_gone"), F.collect_list(F.when(~F.col("long"), F.col("at"))).alias("not_shared"))
+    named = texts.select("anchor", "d1", "d2", "more", F.octet_length("part").alias("size")).join(once, ["anchor", "d1", "d2"], "left")
+
+    def spans(which: str, size: int) -> Column:
+        last = F.least(F.col("more").cast("int"), F.col("size") - size)
+        alone = F.coalesce(F.col(which), F.array().cast("array<int>"))
+        starts = F.when(last >= 0, F.array_except(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), alone)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(starts, lambda i: F.array(i, i + size)))
+
+    shared = spans("not_gone" if seen == match else "not_shared", seen)
+    return named.select("anchor", "d1", "d2", F.lit(None).cast("int").alias("gone_end"), F.lit(None).cast("int").alias("shared_end"), spans("not_gone", match).alias("gone"), shared.alias("shared"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, seen: int | None = None, spread: int | None = None) -> DataFrame:
     """doc_id, kept (binary), n_bytes, n_removed, n_spans and n_passages of each row.
 
@@ -347,7 +403,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = dict(rows.dtypes)["doc_id"]
     spans = repeated_spans(rows, key, match, seen, spread).withColumnsRenamed({"doc_id": "id2", "tag": "tag2"})
     packed = rows.mapInArrow(_compressed(key), f"doc_id {kind}, tag bigint, packed binary")
-    joined = packed.join(spans, packed["doc_id"].eqNullSafe(F.col("id2")) & (packed["tag"] == F.col("tag2")), "left").select("doc_id", "packed", "spans")
+    joined = packed.join(spans, packed["doc_id"].eqNullSafe(F.col("id2")) & (packed["tag"] == F.col("tag2")), "left").select("doc_id", "packed", "gone", "shared")
     return joined.mapInArrow(_remove, f"doc_id {kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, n_passages bigint")
 
 
