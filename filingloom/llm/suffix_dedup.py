@@ -43,26 +43,66 @@ SEGMENT, RANGES, PASSAGE = 1 << 20, 8, 50
 _LOW = np.uint64(0xFFFFFF)
 
 
-def runs(data: bytes, seen: int, spread: int, hasher: RollingHash) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor, first start, last start) of all runs, segment by segment."""
-    k = seen - spread + 1
+class Windows:
+    """Hashes of all windows of ``k`` bytes of a buffer; equal windows have equal hashes."""
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+        power, inverse = (np.full(SEGMENT + (1 << 16), base, np.uint64) for base in (RollingHash.BASE, pow(RollingHash.BASE, -1, 1 << 64)))
+        power[0] = inverse[0] = 1
+        self.power, self.inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+
+    def hashes(self, raw: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.power[: len(raw)], out=sums[1:])
+        out = (sums[self.k :] - sums[: -self.k]) * self.inverse[: len(raw) - self.k + 1]
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xC4CEB9FE1A85EC53)
+        return out
+
+
+def runs(texts: list[bytes], seen: int, spread: int, windows: Windows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchor, text, first start, last start) of all runs. Texts are laid end to end and taken segment by segment."""
+    k, sizes = windows.k, np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    data = b"".join(texts)
     for base in range(0, max(0, len(data) - seen + 1), SEGMENT):
         raw = np.frombuffer(data[base : base + SEGMENT + seen - 1], np.uint8)
         n = len(raw) - seen + 1
-        prefix, start = hasher.prefix(raw), np.arange(len(raw) - k + 1)
-        hashes = hasher.ranges(prefix, start, start + k)
-        keys = (hashes & ~_LOW) | start.astype(np.uint64)
+        hashes = windows.hashes(raw)
+        keys = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)
         least = np.append(keys, np.full(-len(keys) % spread, ~np.uint64(0))).reshape(-1, spread)
         before = np.minimum.accumulate(least, axis=1).ravel()
         after = np.minimum.accumulate(least[:, ::-1], axis=1)[:, ::-1].ravel()
         anchor = (np.minimum(after[:n], before[spread - 1 : spread - 1 + n]) & _LOW).astype(np.int64)
-        cut = np.flatnonzero(np.diff(anchor)) + 1
-        first, last = np.append(0, cut), np.append(cut - 1, n - 1)
-        yield hashes[anchor[first]], base + first, base + last
+        # Only starts whose string ends within their own text.
+        whole = np.zeros(n + 1, np.int8)
+        lo, hi = np.maximum(begin - base, 0), np.minimum(begin + sizes - seen + 1 - base, n)
+        here = np.flatnonzero(lo < hi)
+        if len(here) == 0:
+            continue
+        whole[lo[here]] += 1
+        whole[hi[here]] -= 1
+        start = np.flatnonzero(np.cumsum(whole[:-1]))
+        of = anchor[start]
+        cut = np.flatnonzero(np.diff(of)) + 1  # the next text's anchor lies in that text
+        first, last = start[np.append(0, cut)], start[np.append(cut - 1, len(start) - 1)]
+        which = np.searchsorted(begin, base + first, side="right") - 1
+        yield hashes[of[np.append(0, cut)]].view(np.int64), which, base + first - begin[which], base + last - begin[which]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of a few rows and, but for single long texts, of few bytes."""
+    for batch in slices(batches):
+        size, at = np.cumsum([0, *pc.fill_null(pc.binary_length(batch.column("data")), 0).to_pylist()]), 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, size[at] + 4 * SEGMENT, side="right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 class SuffixFamily:
-    """Suffix arrays of growing size over the texts of one anchor. No two starts of one text match.
+    """Suffix arrays of growing size over the texts of one anchor.
 
     A text has ``starts`` suffixes, each of ``match`` bytes or to the text's end; they are compared by those bytes.
     """
@@ -91,32 +131,32 @@ class SuffixFamily:
         return key
 
     def flush(self) -> None:
-        """The waiting texts' array, scanned against all levels and merged into them."""
+        """The waiting texts' array, scanned against the arrays of all levels and merged into them."""
         m = self.match
         new = sorted((text[i : i + m], key, i) for key, text, starts in self.waiting for i in range(starts))
         self.waiting = []
         if not new:
             return
         self._scan(new)
-        for array in filter(None, self.levels):
-            self._scan(sorted(array + new))  # two runs in order: a linear merge
+        merges = [sorted(array + new) if array else None for array in self.levels]  # two runs in order: linear merges
+        for both in filter(None, merges):
+            self._scan(both)
+        carry = new
         for i, array in enumerate(self.levels):
             if array is None:
-                self.levels[i] = new
+                self.levels[i] = carry
                 return
-            self.levels[i] = None
-            new = sorted(array + new)
-        self.levels.append(new)
+            self.levels[i], carry = None, merges[i] if carry is new else sorted(array + carry)
+        self.levels.append(carry)
 
     def _scan(self, array: list[tuple[bytes, int, int]]) -> None:
         """Neighbours that begin alike. A suffix has its longest match beside it."""
         m, s = self.match, self.seen
-        for x, y in pairwise(array):
-            a, b = x[0], y[0]
-            if a[:s] == b[:s]:
-                self.short.update((x[1:], y[1:]))
+        for (a, x, i), (b, y, j) in pairwise(array):
+            if a[s - 1] == b[s - 1] and a.startswith(b[:s]):
+                self.short.update(((x, i), (y, j)))
                 if len(a) == m and a == b:
-                    self.long.update((x[1:], y[1:]))
+                    self.long.update(((x, i), (y, j)))
 
     def spans(self) -> Iterator[tuple[int, tuple[int, int] | None, list[int] | None, list[int] | None]]:
         """Of the texts with repeats: the text; the ends of both kinds of span where it stands twice as a whole, else its
@@ -151,13 +191,13 @@ def _tag(data: bytes, key: bytes) -> int:
 
 
 def _anchors(seen: int, spread: int):
-    """How often each anchor stands, summed within a slice."""
+    """How often each anchor stands, summed within a group of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = RollingHash()
-        for batch in slices(batches):
-            if parts := [part[0] for data in batch.column("data").to_pylist() for part in runs(data, seen, spread, hasher)]:
-                anchor, n = np.unique(np.concatenate(parts).view(np.int64), return_counts=True)
+        windows = Windows(seen - spread + 1)
+        for batch in _groups(batches):
+            if parts := [part[0] for part in runs(batch.column("data").to_pylist(), seen, spread, windows)]:
+                anchor, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.record_batch([pa.array(anchor), pa.array(n.astype(np.int64))], names=["anchor", "n"])
 
     return run
@@ -167,25 +207,17 @@ def _survey(match: int, seen: int, spread: int, key: bytes):
     """A row for each run: anchor, digest of its text, doc_id, tag, first start and how many more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = RollingHash()
-        for batch in slices(batches):
-            columns: list[list[np.ndarray]] = [[] for _ in range(3)]
-            digests, rows, tags, which = [], [], [], []
-            for i, data in enumerate(batch.column("data").to_pylist()):
-                for part in runs(data, seen, spread, hasher):
-                    for column, values in zip(columns, part, strict=True):
-                        column.append(values)
-                    digests += [blake2b(data[a : b + match] + (b - a).to_bytes(2), digest_size=16, key=key).digest() for a, b in zip(part[1].tolist(), part[2].tolist(), strict=True)]
-                    rows.append(len(part[0]))
-                    tags.append(_tag(data, key))
-                    which.append(i)
-            if not rows:
+        windows = Windows(seen - spread + 1)
+        for batch in _groups(batches):
+            texts = batch.column("data").to_pylist()
+            parts = list(runs(texts, seen, spread, windows))
+            if not parts:
                 continue
-            at = np.repeat(which, rows)
-            anchor, first, last = (np.concatenate(c).view(np.int64) for c in columns)
-            digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            anchor, which, first, last = (np.concatenate(c) for c in zip(*parts, strict=True))
+            digests = b"".join(blake2b(texts[i][a : b + match] + (b - a).to_bytes(2), digest_size=16, key=key).digest() for i, a, b in zip(which.tolist(), first.tolist(), last.tolist(), strict=True))
+            digest, tags = np.frombuffer(digests, np.int64).reshape(-1, 2), np.array([_tag(t, key) for t in texts], np.int64)
             yield pa.record_batch(
-                [pa.array(anchor), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), batch.column("doc_id").take(pa.array(at)), pa.array(np.repeat(np.array(tags, np.int64), rows)), pa.array(first), pa.array((last - first).astype(np.int16))],
+                [pa.array(anchor), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), batch.column("doc_id").take(pa.array(which)), pa.array(tags[which]), pa.array(first), pa.array((last - first).astype(np.int16))],
                 names=["anchor", "d1", "d2", "doc_id", "tag", "first", "more"],
             )
 
@@ -202,7 +234,8 @@ def _compressed(key: bytes):
     return run
 
 
-_PART = {"anchor": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "hot": pa.bool_(), "twice": pa.bool_(), "range": pa.int32(), "more": pa.int16(), "part": pa.binary()}
+_WANTED = ("anchor", "d1", "d2", "hot", "twice", "more")
+_PART = {"anchor": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "hot": pa.bool_(), "twice": pa.bool_(), "more": pa.int16(), "range": pa.int32(), "part": pa.binary()}
 
 
 def _extract(match: int):
@@ -211,14 +244,16 @@ def _extract(match: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in slices(batches):
-            out: list[list] = [[] for _ in _PART]
-            for part_of, packed, wanted in zip(batch.column("range").to_pylist(), batch.column("packed").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            wanted = batch.column("wanted")
+            sizes, w = pc.list_value_length(wanted).to_pylist(), wanted.flatten()
+            first, more = (w.field(c).to_pylist() for c in ("first", "more"))
+            parts, at = [], 0
+            for packed, n in zip(batch.column("packed").to_pylist(), sizes, strict=True):
                 data = unpack.decompress(packed)
-                for w in wanted:
-                    first, more = w["first"], w["more"]
-                    for column, value in zip(out, (w["anchor"], w["d1"], w["d2"], w["hot"], w["twice"], part_of, more, data[first : first + more + match]), strict=True):
-                        column.append(value)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, _PART.values(), strict=True)], names=list(_PART))
+                parts += [data[a : a + b + match] for a, b in zip(first[at : at + n], more[at : at + n], strict=True)]
+                at += n
+            of = np.repeat(batch.column("range").to_numpy(), sizes)
+            yield pa.record_batch([*(w.field(c) for c in _WANTED), pa.array(of, pa.int32()), pa.array(parts, pa.binary())], names=list(_PART))
 
     return run
 
@@ -355,7 +390,7 @@ def repeated_spans(rows: DataFrame, key: bytes, match: int, seen: int, spread: i
     packed = long_enough.mapInArrow(_compressed(key), f"doc_id {kind}, tag bigint, packed binary")
     part_of = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(RANGES)).cast("int").alias("range")
     joined = packed.join(wanted, packed["doc_id"].eqNullSafe(F.col("id2")) & (packed["tag"] == F.col("tag2"))).select(part_of, "packed", "wanted")
-    parts = materialise(joined.mapInArrow(_extract(match), "anchor bigint, d1 bigint, d2 bigint, hot boolean, twice boolean, range int, more smallint, part binary"), "suffix-parts")
+    parts = materialise(joined.mapInArrow(_extract(match), "anchor bigint, d1 bigint, d2 bigint, hot boolean, twice boolean, more smallint, range int, part binary"), "suffix-parts")
     discard(texts)
 
     dealt = parts.where(~F.col("hot")).repartition("anchor").sortWithinPartitions("anchor", "range")
