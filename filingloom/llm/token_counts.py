@@ -2,15 +2,16 @@
 
 A text is cut into pre-tokens; a pre-token's tokens are the pieces of the vocabulary whose summed log probabilities are
 the greatest (fewer pieces where sums are equal). The best sum for a prefix depends on that prefix alone, so all
-pre-tokens that begin alike share it: the distinct pre-tokens of a block of texts are walked in sorted order, which is a
-walk through their trie, with the forward scores of the present path on a stack. Only what goes beyond the prefix shared
-with the pre-token before is computed; each end's count is stored and looked up for all its occurrences.
+pre-tokens that begin alike share it: each distinct pre-token is inserted in a trie over bytes whose nodes hold the
+forward scores of their prefixes. Only nodes that are new are computed; a pre-token's last node gives its count, which
+is stored and looked up for all its occurrences. One trie serves a whole task.
 
 The vocabulary is a public file of byte pieces with ranks (none is trained here); a piece's probability follows Zipf's
 law over its rank. Scores are whole millionths, so that sums are exact and the same on every machine. All single bytes
 are pieces, so every text has a segmentation.
 
-A task holds the counts of at most ``CACHE`` pre-tokens and forgets them beyond that; nothing is shuffled.
+A task holds at most ``NODES`` nodes, forgets all beyond that and begins anew; the counts stay exact. A pre-token of more
+than ``LONG`` bytes is computed in the same way but not stored. Nothing is shuffled.
 
 Defined results: null and empty texts have no tokens; a pre-token of any length is one path; repeated rows are counted
 row by row; further columns are ignored.
@@ -22,7 +23,7 @@ import base64
 import functools
 import math
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from importlib.util import find_spec
 
 import pyarrow as pa
@@ -34,9 +35,8 @@ from filingloom.llm.common import slices, table
 
 #: Runs of letters, digits or other signs with at most one space before them, and runs of white space.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 300_000
-#: Characters of text in a block.
-BLOCK = 2_000_000
+#: Nodes of a trie, some 200 bytes each, and bytes of a pre-token that is stored in it.
+NODES, LONG = 500_000, 10_000
 
 
 def default_vocabulary() -> str:
@@ -46,7 +46,9 @@ def default_vocabulary() -> str:
     return os.path.join(folder, "byte_bpe_50k.tiktoken")
 
 
-class UnigramCounter:
+class PreTokenTrie:
+    """Forward scores of all prefixes of the pre-tokens inserted, and the counts of the pre-tokens."""
+
     def __init__(self, ranks: dict[bytes, int]) -> None:
         norm = math.log(sum(1 / (r + 1) for r in ranks.values()))
         self.score = {p: -round(1e6 * (math.log(r + 1) + norm)) for p, r in ranks.items()}
@@ -54,36 +56,62 @@ class UnigramCounter:
         self.longest: dict[bytes, int] = {}
         for p in ranks:
             self.longest[p[-2:]] = max(self.longest.get(p[-2:], 1), len(p))
+        self._begin()
+
+    def _begin(self) -> None:
+        #: Child by 256 * node + byte; of each node the best sum and its number of pieces; of each terminal its count.
+        self.child: dict[int, int] = {}
+        self.best, self.pieces = [0], [0]
         self.counts: dict[str, int] = {}
 
-    def learn(self, tokens: Iterable[str]) -> None:
-        """Store the counts of the distinct pre-tokens given."""
-        if len(self.counts) > CACHE:
-            self.counts.clear()
-        score, longest = self.score, self.longest.get
-        best, pieces, before = [0], [0], b""
-        for data, token in sorted((t.encode(), t) for t in tokens):
-            shared = len(os.path.commonprefix((before, data)))
-            del best[shared + 1 :], pieces[shared + 1 :]
-            for end in range(shared + 1, len(data) + 1):
-                top, n = None, 0
-                for size in range(1, min(longest(data[max(0, end - 2) : end], 1), end) + 1):
-                    s = score.get(data[end - size : end])
-                    if s is not None:
-                        s += best[end - size]
-                        k = pieces[end - size] + 1
-                        if top is None or s > top or (s == top and k < n):
-                            top, n = s, k
-                best.append(top)
-                pieces.append(n)
-            self.counts[token] = pieces[-1]
-            before = data
-
-    def count(self, texts: list[str], cut) -> list[tuple[int, int]]:
-        """(pre-tokens, tokens) of each text."""
-        parts = [cut(t) for t in texts]
-        self.learn(set().union(*parts) - self.counts.keys() if len(self.counts) <= CACHE else set().union(*parts))
-        return [(len(p), sum(map(self.counts.__getitem__, p))) for p in parts]
+    def _extend(self, data: bytes, best: list[int], pieces: list[int]) -> None:
+        """Add the best sums and numbers of pieces of the prefixes of ``data`` that are longer than those given."""
+        score, longest = self.score.get, self.longest.get
+        for end in range(len(best), len(data) + 1):
+            top, n = None, 0
+            for begin in range(end - 1, max(0, end - longest(data[max(0, end - 2) : end], 1)) - 1, -1):
+                s = score(data[begin:end])
+                if s is not None:
+                    s += best[begin]
+                    if top is None or s > top or (s == top and pieces[begin] + 1 < n):
+                        top, n = s, pieces[begin] + 1
+            best.append(top)
+            pieces.append(n)
+
+    def insert(self, token: str) -> int:
+        """The pre-token's count."""
+        data = token.encode()
+        if len(data) > LONG:
+            best, pieces = [0], [0]
+            self._extend(data, best, pieces)
+            return pieces[-1]
+        if len(self.best) + len(data) > NODES:
+            self._begin()
+        child, node, path = self.child.get, 0, [0]
+        for byte in data:
+            node = child(node << 8 | byte)
+            if node is None:
+                break
+            path.append(node)
+        if (shared := len(path) - 1) < len(data):
+            best, pieces = [self.best[i] for i in path], [self.pieces[i] for i in path]
+            self._extend(data, best, pieces)
+            node = path[-1]
+            for byte in data[shared:]:
+                below = self.child[node << 8 | byte] = len(self.best)
+                shared += 1
+                self.best.append(best[shared])
+                self.pieces.append(pieces[shared])
+                node = below
+        self.counts[token] = self.pieces[node]
+        return self.pieces[node]
+
+    def count(self, tokens: list[str]) -> int:
+        """Pieces of all pre-tokens of a text."""
+        counts = self.counts
+        rest = {t: self.insert(t) for t in set(tokens).difference(counts)}
+        known = counts if counts is self.counts and rest.keys() <= counts.keys() else {t: rest.get(t, counts.get(t)) for t in set(tokens)}
+        return sum(map(known.__getitem__, tokens))
 
 
 @functools.lru_cache(maxsize=2)
@@ -92,27 +120,17 @@ def _ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _blocks(texts: list[str]) -> Iterator[list[str]]:
-    block, size = [], 0
-    for t in texts:
-        block.append(t)
-        size += len(t)
-        if size >= BLOCK:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str = PATTERN) -> DataFrame:
     """doc_id, n_bytes, n_pretokens, n_tokens of each row. vocabulary: a file that is installed on every machine."""
     path = vocabulary or default_vocabulary()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, cut = UnigramCounter(_ranks(path)), regex.compile(pattern).findall
+        trie, cut = PreTokenTrie(_ranks(path)), regex.compile(pattern).findall
         for batch in slices(batches):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            found = [x for block in _blocks(texts) for x in counter.count(block, cut)]
+            found = []
+            for text in batch.column("text").to_pylist():
+                tokens = cut(text or "")
+                found.append((len(tokens), trie.count(tokens)))
             yield pa.record_batch(
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["doc_id", "n_bytes", "n_pretokens", "n_tokens"]
             )

@@ -89,26 +89,42 @@ def brute_tokens(data, score):
     return -best[-1][1]
 
 
-def test_token_counts(spark):
-    counter = token_counts.UnigramCounter(token_counts._ranks(token_counts.default_vocabulary()))
-    docs = [d for d in corpus() if d[0] < 12 or 100 <= d[0] < 105] + [(300, "it's   tabs\t\tand 12345 ünïcödé 你好 \U0001f600\n", "en", "s", 1), (301, "a" * 300, "en", "s", 1)]
+def test_token_counts(spark, tmp_path):
+    """The registered query, with its own vocabulary."""
+    trie = token_counts.PreTokenTrie(token_counts._ranks(token_counts.default_vocabulary()))
+    docs = [d for d in corpus() if d[0] < 12 or 100 <= d[0] < 105] + [(300, "it's   tabs\t\tand 12345 ünïcödé 你好 \U0001f600\n", "en", "s", 1), (301, "a" * 300, "en", "s", 1), (301, "a" * 300, "en", "s", 1)]
     cut = token_counts.regex.compile(token_counts.PATTERN).findall
-    got = {r.doc_id: (r.n_bytes, r.n_pretokens, r.n_tokens) for r in token_counts.count_tokens(frame(spark, docs, clash=True)).collect()}
-    for d in docs:
-        text = d[1] or ""
-        assert "".join(cut(text)) == text
-        assert got[d[0]] == (len(text.encode()), len(cut(text)), sum(brute_tokens(t.encode(), counter.score) for t in cut(text)))
+    folder = save({"documents": frame(spark, docs, clash=True)}, tmp_path)
+    got = Counter(tuple(r) for r in token_counts.op3_token_counts(spark, folder).select("doc_id", "n_bytes", "n_pretokens", "n_tokens").collect())
+    assert all("".join(cut(d[1] or "")) == (d[1] or "") for d in docs)
+    assert got == Counter((d[0], len((d[1] or "").encode()), len(cut(d[1] or "")), sum(brute_tokens(t.encode(), trie.score) for t in cut(d[1] or ""))) for d in docs)
     assert token_counts.count_tokens(frame(spark, [])).count() == 0
 
 
+RANKS = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"abc": 301, b"bc": 302}
+
+
 def test_token_counts_when_forgetting(monkeypatch):
-    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"abc": 301, b"bc": 302}
-    monkeypatch.setattr(token_counts, "CACHE", 2)
-    counter = token_counts.UnigramCounter(ranks)
-    texts = ["abc ab abab bcbc", "ab zz", "abc q w e", "ab"]
+    """Few nodes, and tokens too long to be stored."""
+    monkeypatch.setattr(token_counts, "NODES", 9)
+    monkeypatch.setattr(token_counts, "LONG", 4)
+    trie = token_counts.PreTokenTrie(RANKS)
+    texts = ["abc ab abab bcbc abcabc", "ab zz", "abc q w e", "ab", "", "abcabcabcab"]
     for _ in range(2):
-        got = counter.count(texts, str.split)
-        assert [b for _, b in got] == [sum(brute_tokens(t.encode(), counter.score) for t in x.split()) for x in texts]
+        assert [trie.count(x.split()) for x in texts] == [sum(brute_tokens(t.encode(), trie.score) for t in x.split()) for x in texts]
+        assert len(trie.best) <= 9
+
+
+def test_prefixes_are_computed_once(monkeypatch):
+    """A node for each distinct prefix of all pre-tokens, one step for each node, a count for each terminal."""
+    trie, computed = token_counts.PreTokenTrie(RANKS), []
+    extend = trie._extend
+    monkeypatch.setattr(trie, "_extend", lambda data, best, pieces: computed.extend(data[:n] for n in range(len(best), len(data) + 1)) or extend(data, best, pieces))
+    tokens = ["abc", "abd", "ab", "abcabc", "b", "abd"]
+    trie.count(tokens)
+    prefixes = {t[:n] for t in tokens for n in range(1, len(t) + 1)}
+    assert sorted(p.decode() for p in computed) == sorted(prefixes) and len(prefixes) == len(trie.best) - 1 == len(trie.child)
+    assert trie.counts == {t: brute_tokens(t.encode(), trie.score) for t in tokens}
 
 
 # --- 4: chat formatting
