@@ -1,10 +1,11 @@
 """Quality classifier: support vectors on Naive Bayes features.
 
-A text's features are indicators of its byte n-grams (1 to 4 bytes), of its words, and of word n-grams that
-repeat one word (2 to 24 times), in ``DIMS`` places by hash. Each is
-scaled by the log ratio of its smoothed shares in the two classes; a linear hinge-loss model is then fitted to the
-scaled vectors, brought to length 1, by dual coordinate descent, and blended with the mean weight as usual for this
-method. A logistic curve fitted on rows that the model did not see turns margins into scores.
+A text's features are indicators of its byte n-grams (1 to 4 bytes) and of its words, in ``HASHED`` places by hash, and
+of word n-grams that repeat one word (2 to ``MOST_RUN`` times), which have places of their own behind those. Each is
+scaled by the class log-count ratio r = log((p / |p|) / (q / |q|)), p and q being the smoothed counts of the features in
+the texts of both classes and |.| their sums; a linear hinge-loss model is then fitted to the scaled vectors, brought to
+length 1, by dual coordinate descent, and blended with the mean weight as usual for this method. A logistic curve fitted
+on rows that the model did not see turns margins into scores.
 
 Learning takes at most ``SAMPLE`` labelled rows, in the order of a hash of their id; scoring is one pass over the
 documents without a shuffle.
@@ -28,8 +29,14 @@ from filingloom.llm.common import RollingHash, crc_mod, labelled_sample, mix64,
 
 SAMPLE, DIMS, THRESHOLD = 6000, 1 << 16, 0.3
 ORDERS = (1, 2, 3, 4)
-#: The longest word n-gram of one word that counts; places 2 to this one are theirs.
+#: The longest word n-gram of one word that counts, and the places that hashes fill; n-grams of one word have the rest.
 MOST_RUN = 24
+HASHED = DIMS - MOST_RUN - 1
+
+
+def _places(hashes: np.ndarray) -> np.ndarray:
+    """Hashes dealt to the places 0 to HASHED - 1, by their low 16 bits."""
+    return ((hashes & np.uint64(0xFFFF)) * np.uint64(HASHED) >> np.uint64(16)).astype(np.int64)
 
 
 def indicators(data: bytes, hasher: RollingHash) -> np.ndarray:
@@ -44,16 +51,16 @@ def indicators(data: bytes, hasher: RollingHash) -> np.ndarray:
         if len(x) < n:
             break
         code = (code[: len(x) - n + 1] << np.uint64(8)) | x[n - 1 :]
-        seen[(mix64(code + np.uint64(n << 40)) & np.uint64(DIMS - 1)).astype(np.int64)] = True
+        seen[_places(mix64(code + np.uint64(n << 40)))] = True
     edge = np.flatnonzero(np.diff(np.concatenate(([0], (raw > 32).astype(np.int8), [0]))))
     start, end = edge[::2], edge[1::2]
     if len(start):
         words = hasher.ranges(hasher.prefix(raw), start, end)
-        seen[(words & np.uint64(DIMS - 1)).astype(np.int64)] = True
+        seen[_places(words)] = True
         # Word n-grams that repeat one word, whichever: their longest run tells which of them there are.
         change = np.flatnonzero(np.append(words[1:] != words[:-1], True))
         run = int(np.diff(change, prepend=-1).max())
-        seen[2 : min(run, MOST_RUN) + 1] = True
+        seen[HASHED + 2 : HASHED + min(run, MOST_RUN) + 1] = True
     return np.flatnonzero(seen)
 
 
@@ -96,6 +103,14 @@ def dual_coordinate_descent(rows, y: np.ndarray, dims: int, c: np.ndarray, epoch
     return w
 
 
+def log_count_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Of each place, the log of its share in the counts of class 1 over that in the counts of class 0, both smoothed by 1."""
+    counts = np.ones((2, DIMS))
+    for at, label in zip(rows, y, strict=True):
+        counts[int(label)][at] += 1
+    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+
+
 @dataclass
 class QualityModel:
     """weight: by place, the log ratio included; the margin is scaled by the length of the text's scaled vector."""
@@ -129,18 +144,14 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def train_model(rows: list[np.ndarray], y: np.ndarray, held: np.ndarray, blend: float = 0.25, cost: float = 10.0) -> QualityModel:
+def train_model(rows: list[np.ndarray], y: np.ndarray, held: np.ndarray, blend: float = 0.25, cost: float = 1.0) -> QualityModel:
     """rows: places by text; held: rows for the logistic curve only."""
     share = float(y.mean()) if len(y) else 0.5
     flat = QualityModel(np.zeros(DIMS), np.zeros(DIMS), 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     fit = np.flatnonzero(~held)
     if len(fit) == 0 or y[fit].min() == y[fit].max():
         return flat
-    counts = np.ones((2, DIMS))
-    for i in fit:
-        counts[int(y[i])][rows[i]] += 1
-    shares = counts / (1 + np.bincount(y[fit].astype(int), minlength=2))[:, None]
-    ratio = np.log(shares[1] / shares[0]) - np.log((1 - np.minimum(shares[1], 0.999)) / (1 - np.minimum(shares[0], 0.999)))
+    ratio = log_count_ratio([rows[i] for i in fit], y[fit])
     square = ratio * ratio
     scaled = ScaledRows([rows[i] for i in fit], ratio)
     sign = np.where(y[fit] == 1, 1.0, -1.0)

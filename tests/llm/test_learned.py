@@ -1,5 +1,6 @@
 """Classifiers by held-out accuracy and plain versions of their parts, and the pipeline stage by stage."""
 
+import itertools
 import random
 from collections import Counter
 from zlib import crc32
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filingloom.llm import quality_classifier, quality_rules, toxicity
-from filingloom.llm.common import RollingHash, materialise, table
+from filingloom.llm.common import RollingHash, materialise, mix64, table
 from filingloom.llm.trees import auc, fit_forest, fit_isotonic
 
 from .helpers import corpus, frame, words
@@ -57,6 +58,53 @@ def test_classifiers_at_the_edges(spark, tmp_path, op):
     assert query(spark, str(tmp_path / "none")).count() == 0
 
 
+def plain_places(data: bytes) -> set[int]:
+    """Places of a text's n-grams and words, one by one."""
+    low16 = lambda h: (int(h) & 0xFFFF) * quality_classifier.HASHED >> 16
+    out = set()
+    for n in quality_classifier.ORDERS:
+        for i in range(len(data) - n + 1):
+            out.add(low16(mix64(np.array([int.from_bytes(data[i : i + n], "big") + (n << 40)], np.uint64))[0]))
+    split = "".join(chr(b) if b > 32 else " " for b in data).split(" ")
+    split = [bytes(map(ord, w)) for w in split if w]
+    hasher = RollingHash()
+    for w in split:
+        raw = np.frombuffer(w, np.uint8)
+        out.add(low16(hasher.ranges(hasher.prefix(raw), np.array([0]), np.array([len(w)]))[0]))
+    longest = max((sum(1 for _ in g) for _, g in itertools.groupby(split)), default=0)
+    return out | {quality_classifier.HASHED + n for n in range(2, min(longest, quality_classifier.MOST_RUN) + 1)}
+
+
+def test_quality_features_and_ratio():
+    rng = random.Random(21)
+    texts = [words(rng, rng.randint(0, 25)).encode() for _ in range(20)] + [b"", b" \n ", b"ab " * 40, b"x", "é ü".encode(), b"a a b b b"]
+    hasher = RollingHash()
+    rows = [quality_classifier.indicators(t, hasher) for t in texts]
+    assert [set(r.tolist()) for r in rows] == [plain_places(t) for t in texts]
+    assert all(r.max(initial=0) < quality_classifier.DIMS for r in rows)
+    y = np.array([i % 3 > 0 for i in range(len(rows))], float)
+    ratio = quality_classifier.log_count_ratio(rows, y)
+    for place in {*rows[0][:50].tolist(), *rows[22].tolist(), 5}:
+        p, q = (1 + sum(place in r for r, label in zip(rows, y, strict=True) if label == of) for of in (1, 0))
+        p_all, q_all = (quality_classifier.DIMS + sum(len(r) for r, label in zip(rows, y, strict=True) if label == of) for of in (1, 0))
+        assert ratio[place] == pytest.approx(np.log(p / p_all) - np.log(q / q_all))
+
+
+def test_quality_score_is_the_scaled_margin():
+    rng = random.Random(22)
+    rows = [quality_classifier.indicators(words(rng, 20 + 10 * (i % 2)).upper().encode() if i % 2 else words(rng, 20).encode(), RollingHash()) for i in range(60)]
+    y, held = np.array([i % 2 for i in range(60)], float), np.array([i % 4 == 0 or i % 4 == 3 for i in range(60)])
+    model = quality_classifier.train_model(rows, y, held)
+    fit = [i for i in range(60) if not held[i]]
+    ratio = quality_classifier.log_count_ratio([rows[i] for i in fit], y[fit])
+    for r in rows:
+        x = np.zeros(quality_classifier.DIMS)
+        x[r] = ratio[r]
+        w = np.divide(model.weight, ratio, out=np.zeros_like(ratio), where=ratio != 0)
+        margin = w @ x / np.linalg.norm(x) + model.bias
+        assert model.score(r) == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.offset))), rel=1e-6)
+
+
 @pytest.mark.parametrize("case", ["empty", "unmatched", "all 1", "all 0"])
 def test_toxicity_without_a_model(spark, case):
     """Labels that teach nothing reject nothing."""
