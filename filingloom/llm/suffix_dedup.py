@@ -24,6 +24,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import pairwise
@@ -37,7 +38,9 @@ from pyspark.sql import functions as F
 
 from filingloom.llm.common import RollingHash, discard, materialise, merged, secret, slices, table
 
-MATCH, SEEN, SPREAD, HOT = 400, 272, 176, 1000
+MATCH, SEEN, SPREAD = 400, 272, 176
+#: Distinct texts of a family: some 60 KB each while its arrays stand.
+HOT = 2500
 #: Bytes of a text that are looked at together, ranges of the corpus, and words that a passage exceeds.
 SEGMENT, RANGES, PASSAGE = 1 << 20, 8, 50
 _LOW = np.uint64(0xFFFFFF)
@@ -181,10 +184,6 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("data"))
 
 
-def _digest(data: bytes, key: bytes) -> np.ndarray:
-    return np.frombuffer(blake2b(data, digest_size=16, key=key).digest(), np.int64)
-
-
 def _tag(data: bytes, key: bytes) -> int:
     """Tells texts of one doc_id apart."""
     return int.from_bytes(blake2b(data, digest_size=8, key=key).digest(), "little", signed=True)
@@ -312,21 +311,26 @@ def _families(match: int, seen: int):
 
 
 def _strings(match: int, seen: int, key: bytes):
-    """A digest for each string of hot texts: of match bytes and, if shorter ones are asked for, of seen bytes."""
+    """A digest for each string of hot texts: of match bytes and, if shorter ones are asked for, of seen bytes. Equal ones
+    are counted within a slice; whose string it is matters only where it stands once."""
     sizes = (match,) if seen == match else (match, seen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["s1", "s2", "anchor", "d1", "d2", "at", "long", "n"]
-        kinds = [pa.int64()] * 5 + [pa.int32(), pa.bool_(), pa.int32()]
-        for batch in slices(batches, 64):
-            out: list[list] = [[] for _ in names]
+        names = ["s1", "s2", "n", "anchor", "d1", "d2", "at", "long"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+        for batch in slices(batches):
+            count: Counter[bytes] = Counter()
+            owner: dict[bytes, tuple] = {}
             for a, d1, d2, twice, more, part in zip(*(batch.column(c).to_pylist() for c in ("anchor", "d1", "d2", "twice", "more", "part")), strict=True):
                 for size in sizes:
+                    tail = size.to_bytes(4)
                     for i in range(min(more + 1, len(part) - size + 1)):
-                        s1, s2 = _digest(part[i : i + size] + size.to_bytes(4), key).tolist()
-                        for column, value in zip(out, (s1, s2, a, d1, d2, i, size == match, 2 if twice else 1), strict=True):
-                            column.append(value)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+                        digest = blake2b(part[i : i + size] + tail, digest_size=16, key=key).digest()
+                        count[digest] += 2 if twice else 1
+                        owner[digest] = (a, d1, d2, i, size == match)
+            both = np.frombuffer(b"".join(count), np.int64).reshape(-1, 2)
+            columns = [both[:, 0].copy(), both[:, 1].copy(), list(count.values()), *(zip(*owner.values(), strict=True) if owner else [()] * 5)]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
@@ -411,7 +415,7 @@ def repeated_spans(rows: DataFrame, key: bytes, match: int, seen: int, spread: i
 
 def _by_digests(texts: DataFrame, match: int, seen: int, key: bytes) -> DataFrame:
     """What ``_families`` gives, of texts of hot anchors: their strings without those whose digest stands once."""
-    strings = texts.mapInArrow(_strings(match, seen, key), "s1 bigint, s2 bigint, anchor bigint, d1 bigint, d2 bigint, at int, long boolean, n int")
+    strings = texts.mapInArrow(_strings(match, seen, key), "s1 bigint, s2 bigint, n bigint, anchor bigint, d1 bigint, d2 bigint, at int, long boolean")
     once = strings.groupBy("s1", "s2").agg(F.sum("n").alias("n"), F.min(F.struct("anchor", "d1", "d2", "at", "long")).alias("of")).where(F.col("n") == 1).select("of.*")
     once = once.groupBy("anchor", "d1", "d2").agg(F.collect_list(F.when(F.col("long"), F.col("at"))).alias("not_gone"), F.collect_list(F.when(~F.col("long"), F.col("at"))).alias("not_shared"))
     named = texts.select("anchor", "d1", "d2", "more", F.octet_length("part").alias("size")).join(once, ["anchor", "d1", "d2"], "left")
