@@ -130,27 +130,41 @@ class RollingHash:
             return mix64((prefix[end] - prefix[start]) * self.inv[start] + (end - start).astype(np.uint64))
 
 
-class WordHash(dict):
-    """64 bits of keyed BLAKE2b for each word, worked out when it is first seen; forgets all beyond ``CACHE`` words.
+class WordHash:
+    """64-bit hashes of words under a key: eight bytes at a time are mixed in; long words go through keyed BLAKE2b.
 
     The key is drawn anew for each run (``secret``), so no text can be written to collide.
     """
 
-    CACHE = 200_000
+    LONG = 256
+    _MASK = np.array([(1 << 8 * n) - 1 for n in range(8)], np.uint64)
 
     def __init__(self, key: bytes) -> None:
-        super().__init__()
         self.key = key
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.CACHE:
-            self.clear()
-        self[word] = out = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.key).digest(), "little")
+        self.seed, odd = np.frombuffer(hashlib.blake2b(key, digest_size=16).digest(), np.uint64)
+        self.odd = odd | np.uint64(1)
+
+    def of(self, data: bytes) -> np.ndarray:
+        """Hashes of the words of a text that holds one space between words and none at its ends."""
+        raw = np.frombuffer(data + bytes(8), np.uint8)
+        gap = np.flatnonzero(raw[:-8] == 32)
+        at, end = np.append(0, gap + 1), np.append(gap, len(data))
+        left = end - at
+        out = mix64(self.seed + left.astype(np.uint64))
+        eights = np.lib.stride_tricks.as_strided(raw, (len(data) + 1, 8), (1, 1))
+        for i in np.flatnonzero(left > self.LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(data[at[i] : end[i]], digest_size=8, key=self.key).digest(), "little")
+        live = np.flatnonzero(left <= self.LONG)
+        at, left = at[live], left[live]
+        while len(live):
+            block = eights[at].view(np.uint64).ravel()
+            short = np.flatnonzero(left < 8)
+            block[short] &= self._MASK[left[short]]
+            out[live] = mix64((out[live] ^ block) * self.odd)
+            more = np.flatnonzero(left > 8)
+            live, at, left = live[more], at[more] + 8, left[more] - 8
         return out
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
 
 def secret() -> bytes:
     """A key for the hashes of one run; the driver draws it and the tasks get it with their code."""

@@ -44,6 +44,8 @@ from filingloom.llm.components import components
 
 CELLS, STRIP = 1 << 18, 256
 FIRST, GROUP = 6, 1000
+#: Bytes of texts that are hashed together.
+GROUPED = 4 << 20
 HASH_BITS = np.uint64((1 << 58) - 1)
 WORDS = byte_table(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 
@@ -53,17 +55,37 @@ def normalised(data: bytes | None) -> bytes:
     return b" ".join(data.translate(WORDS).split()) if data else b""
 
 
+def shingles_of(texts: list[bytes], k: int, hasher: WordHash) -> Iterator[np.ndarray]:
+    """Of each normalised text the sorted distinct hashes of its k-word shingles; of fewer words, of all of them as one."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < GROUPED):
+            size += len(texts[end])
+            end += 1
+        group, at = texts[at:end], end
+        words = [t.count(b" ") + 1 if t else 0 for t in group]
+        x = hasher.of(b" ".join(filter(None, group))) if any(words) else np.zeros(0, np.uint64)
+        full = np.full(max(0, len(x) - k + 1), k, np.uint64)  # all windows, those across two texts too
+        for i in range(k if len(full) else 0):
+            full = mix64(full + x[i : i + len(full)])
+        full &= HASH_BITS
+        begin = 0
+        for n in words:
+            if n >= k:
+                yield np.unique(full[begin : begin + n - k + 1])
+            elif n:
+                one = np.full(1, n, np.uint64)
+                for i in range(begin, begin + n):
+                    one = mix64(one + x[i : i + 1])
+                yield one & HASH_BITS
+            else:
+                yield np.zeros(0, np.uint64)
+            begin += n
+
+
 def shingles(text: bytes, k: int, hasher: WordHash) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles of a normalised text; of fewer words, of all of them as one."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    x = hasher.of(text.split(b" "))
-    width = min(k, len(x))
-    n = len(x) - width + 1
-    out = np.full(n, width, np.uint64)
-    for i in range(width):
-        out = mix64(out + x[i : i + n])
-    return np.unique(out & HASH_BITS)
+    return next(shingles_of([text], k, hasher))
 
 
 def real_shingles(text: bytes, k: int) -> set[bytes]:
@@ -214,8 +236,7 @@ def _survey(k: int, key: bytes):
         names = ["doc_id", "n", "sid", "strip", "counts"]
         for batch in slices(batches):
             sizes, digests = [], []
-            for data in batch.column("data").to_pylist():
-                tokens = shingles(normalised(data), k, hasher)
+            for tokens in shingles_of(list(map(normalised, batch.column("data").to_pylist())), k, hasher):
                 sizes.append(len(tokens))
                 digests.append(hashlib.md5(tokens.tobytes()).digest())
                 held.append(_cells(tokens))
@@ -266,9 +287,8 @@ def _prefixes(k: int, percent: int, levels: np.ndarray, key: bytes):
         hasher, pack, lately = WordHash(key), zstandard.ZstdCompressor(level=9), OrderedDict()
         for batch in slices(batches):
             out: list[list] = [[] for _ in range(6)]
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                text = normalised(data)
-                tokens = shingles(text, k, hasher)
+            texts = list(map(normalised, batch.column("data").to_pylist()))
+            for doc_id, text, tokens in zip(batch.column("doc_id").to_pylist(), texts, shingles_of(texts, k, hasher), strict=True):
                 if doc_id is None or len(tokens) == 0:
                     continue
                 sid = hashlib.md5(tokens.tobytes()).digest()
