@@ -14,11 +14,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType, _parse_datatype_string
 
 
-def append(df: DataFrame, name: str, kind: str, inputs: list[str], make: Callable) -> DataFrame:
-    """``df`` with a column: ``make`` of the input columns' values of each row."""
+def append(df: DataFrame, name: str, kind: str, inputs: list[str], make: Callable, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with a column: ``make`` of the input columns' values of each row. Columns in ``drop`` go in but do not come back."""
     spark_type: DataType = _parse_datatype_string(kind)
     arrow_type = to_arrow_type(spark_type)
-    kept = [f for f in df.schema.fields if f.name != name]
+    kept = [f for f in df.schema.fields if f.name != name and f.name not in drop]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,28 +1,27 @@
 """Filings to tables: the whole plan.
 
 One filing is one row throughout. Two Arrow functions bracket the native middle: the first enumerates candidate tables
-(text windows, HTML trees), then Catalyst scores, ranks and chooses; the second turns the chosen snippet into a grid,
-Catalyst names its columns under the era's schema, and the last folds rows into entities. There is no shuffle from scan
-to result, so the plan grows with the input and with nothing else.
+(text windows, HTML trees) and leaves the document's text behind, then Catalyst scores, ranks and chooses; the second
+turns the chosen one into a grid, names its columns under the era's schema and folds rows into entities. There is no
+shuffle from scan to result, so the plan grows with the input and with nothing else.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from functools import partial
+from functools import lru_cache, partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingloom.functions.arrow import append, let
-from filingloom.functions.roles import infer_roles
+from filingloom.functions.arrow import append
+from filingloom.functions.roles import RoleReader
 from filingloom.functions.text import base_role, decode, is_text_filing
 from filingloom.operators import assemble, grids, scan_html, scan_text
 from filingloom.operators.select import CANDIDATE, collapsed, margin, scored
 from filingloom.profiles import TRANSITION, TableProfile, get_profile
 
-GRID = "header array<string>, plain array<string>, rows array<array<string>>, failed boolean"
-TABLE = "roles array<string>, header array<string>, rows array<array<string>>, rows_before bigint, suspects array<string>"
+#: bare: no data rows; seen: the era that the columns show; the rest is null where there is no usable table.
+TABLE = "failed boolean, bare boolean, seen string, roles array<string>, header array<string>, rows array<array<string>>, rows_before bigint, suspects array<string>"
 FLAGS = (
     "no_filing_date", "predates_mandate", "no_table_found", "below_score_threshold", "ambiguous_selection", "tabulation_failed", "no_data_rows", "era_mismatch", "ascii_source", "sgml_source",
     "assembly_emptied_table", "unmapped_columns", "suspect_identity_values", "missing_required_columns",
@@ -42,30 +41,38 @@ def enumerate_candidates(text: str, is_text: bool, profile: TableProfile) -> lis
         return [{"backend": c.backend, "kind": c.kind, "index": c.index, "snippet": c.snippet} for c in scan_text.Page(text, profile).candidates()]
 
     tables = [
-        {"backend": "dom", "kind": t.kind, "index": t.index, "header": t.header, "full": t.full, "caption": t.caption, "title": t.title, "grid": t.grid} for t in scan_html.candidates(text, profile, by_row=not is_text)
+        {"backend": "dom", "kind": t.kind, "index": t.index, "header": t.header, "full": t.full, "caption": t.caption, "title": t.title, "grid": t.tabulated(profile)} for t in scan_html.candidates(text, profile, by_row=not is_text)
     ]
     found = of_text() + tables if is_text else tables or of_text()
     empty = {"snippet": "", "header": "", "full": "", "caption": False, "title": False, "grid": []}
     return [empty | c | {"seq": i} for i, c in enumerate(found)]
 
 
-def _tabulate(best: dict | None) -> dict | None:
-    """Header (in compatibility form) and rows of the chosen candidate."""
+@lru_cache(maxsize=16)
+def _reader(profile: TableProfile) -> RoleReader:
+    return RoleReader(profile)
+
+
+def read_table(best: dict | None, era: str, profile: TableProfile, normalize: bool, assemble_rows: bool) -> dict | None:
+    """The chosen candidate as rows under roles."""
     if best is None:
         return None
     kind, snippet = best["backend"], best["snippet"]
     table = best["grid"] if kind == "dom" else grids.sgml_grid(snippet) if kind == "sgml" else grids.ascii_grid(scan_text.blank(snippet))
     header, rows = grids.without_empty_columns(*grids.split_header(table))
-    return {"header": header, "plain": [unicodedata.normalize("NFKC", h) for h in header], "rows": rows, "failed": not table}
+    if not table or not rows:
+        return {"failed": not table, "bare": bool(table)}
+    seen, roles = _reader(profile).under_shown_era(header, era)
+    return {"failed": False, "bare": False, "seen": seen} | assemble.finish(roles, header, rows, profile, normalize, assemble_rows)
 
 
 def with_candidates(filings: DataFrame, profile: str | TableProfile = "summary_compensation") -> DataFrame:
-    """``filings`` (content or text, filing_date) with ranked: its scored candidates, equal ones at the top collapsed."""
+    """``filings`` (content or text, filing_date) with ranked in place of their texts: the scored candidates, equal ones at the top collapsed."""
     p = get_profile(profile)
     text = F.col("text") if "text" in filings.columns else decode(F.col("content"))
-    df = filings.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("is_text", is_text_filing(F.col("_text")))
-    df = append(df, "_found", f"array<{_struct(CANDIDATE)}>", ["_text", "is_text"], partial(enumerate_candidates, profile=p))
-    return df.withColumn("_ranked", scored(F.col("_found"), p)).withColumn("ranked", collapsed(F.col("_ranked"))).drop("_text", "_found", "_ranked")
+    df = filings.select(*(c for c in filings.columns if c not in ("content", "text")), F.coalesce(text, F.lit("")).alias("_text")).withColumn("is_text", is_text_filing(F.col("_text")))
+    df = append(df, "_found", f"array<{_struct(CANDIDATE)}>", ["_text", "is_text"], partial(enumerate_candidates, profile=p), drop=("_text",))
+    return df.withColumn("_ranked", scored(F.col("_found"), p)).withColumn("ranked", collapsed(F.col("_ranked"))).drop("_found", "_ranked")
 
 
 def candidates(filings: DataFrame, profile: str | TableProfile = "summary_compensation", key: str = "filing_id") -> DataFrame:
@@ -83,39 +90,22 @@ def extract(filings: DataFrame, profile: str | TableProfile = "summary_compensat
     df = with_candidates(filings, p)
     top = F.try_element_at(F.col("ranked"), F.lit(1))
     df = df.select(
-        *[c for c in df.columns if c not in ("ranked", "content", "text")],
+        *[c for c in df.columns if c != "ranked"],
         F.size("ranked").alias("n_candidates"),
         top["score"].alias("top_score"),
         margin(F.col("ranked")).alias("margin"),
         F.when(top["score"] >= p.min_score, top["of"]).alias("best"),
         p.schema.era_column(F.col("filing_date")).alias("dated_era"),
-    )
-    df = append(df, "grid", _struct(GRID), ["best"], _tabulate)
-    df = df.select("*", F.col("best.backend").alias("backend"), F.col("grid.header").alias("h"), F.col("grid.plain").alias("plain"), F.col("grid.rows").alias("r"), F.col("grid.failed").alias("failed")).drop("best", "grid")
-    usable = F.col("backend").isNotNull() & ~F.col("failed") & (F.size("r") > 0)
-    # Roles under the date's era; where they show another era, roles under that one.
-    dated = infer_roles(F.col("plain"), p, F.col("dated_era"))
-
-    def settle(roles: Column) -> Column:
-        def under(seen: Column) -> Column:
-            same = seen.isNull() | (seen == F.col("dated_era"))
-            return F.struct(seen.alias("seen"), F.when(same, roles).otherwise(infer_roles(F.col("plain"), p, seen)).alias("roles"))
-
-        return let(p.schema.era_of_roles(F.transform(roles, base_role)), under)
-
-    df = df.withColumn("settled", F.when(usable, let(dated, settle)))
-
-    def finish(settled: dict | None, header: list | None, rows: list | None) -> dict | None:
-        return assemble.finish(settled["roles"], header, rows, p, normalize_numbers, assemble_rows) if settled else None
-
-    df = append(df, "table", _struct(TABLE), ["settled", "h", "r"], finish)
-    df = df.withColumn("era_from_columns", F.col("settled.seen")).withColumn("era", F.coalesce("era_from_columns", "dated_era"))
+    ).withColumn("backend", F.col("best.backend"))
+    read = partial(read_table, profile=p, normalize=normalize_numbers, assemble_rows=assemble_rows)
+    df = append(df, "table", _struct(TABLE), ["best", "dated_era"], read, drop=("best",))
+    df = df.withColumn("era_from_columns", F.col("table.seen")).withColumn("era", F.coalesce("era_from_columns", "dated_era"))
     return _flagged(df, p, assemble_rows)
 
 
 def _flagged(df: DataFrame, p: TableProfile, assembled: bool) -> DataFrame:
     none = F.col("backend").isNull()
-    failed, bare = ~none & F.col("failed"), ~none & ~F.col("failed") & (F.size("r") == 0)
+    failed, bare = ~none & F.col("table.failed"), ~none & F.col("table.bare")
     mismatch = F.coalesce((F.col("dated_era") != TRANSITION) & (F.col("era") != F.col("dated_era")), F.lit(False))
     emptied = F.lit(assembled) & F.coalesce(F.size("table.rows") == 0, F.lit(False))
     done = F.col("table.rows").isNotNull() & ~emptied
@@ -146,7 +136,7 @@ def _flagged(df: DataFrame, p: TableProfile, assembled: bool) -> DataFrame:
     }
     flags = F.filter(F.array(*(F.when(F.coalesce(raised[f], F.lit(False)), F.lit(f)) for f in FLAGS)), lambda x: x.isNotNull())
     df = df.withColumn("flags", flags)
-    hidden = {"h", "plain", "r", "failed", "settled", "table", "dated_era", "is_text"}
+    hidden = {"table", "dated_era", "is_text"}
     names = [c for c in df.columns if c not in hidden | {"era_from_columns"}]
     return df.select(
         *names,

@@ -93,6 +93,11 @@ class Schema:
         found = F.filter(F.array(*hits), lambda x: x.isNotNull())
         return F.when(F.size(found) == 1, F.try_element_at(found, F.lit(1)))
 
+    def era_shown(self, roles: set[str]) -> str | None:
+        """``era_of_roles`` of plain roles."""
+        hits = [v.era for v in self.versions if roles & self.exclusive(v.era)]
+        return hits[0] if len(hits) == 1 else None
+
     def applies(self, filed: Column) -> Column:
         return F.lit(True) if self.mandated is None else F.coalesce(filed >= F.lit(self.mandated), F.lit(True))
 

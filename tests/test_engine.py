@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,6 +184,55 @@ def test_role_marks(spark):
     assert spark.range(1).select(R.infer_roles(heads, profiles.SUMMARY, F.lit("pre2006")).alias("r")).first().r == ["name", "unknown", "salary", "salary_2", "unknown"]
 
 
+@pytest.mark.parametrize("name", sorted(profiles.PROFILES))
+def test_roles_in_columns_and_in_python(spark, name):
+    """All known headers, parts of them put together, and eras that the schema has and has not."""
+    p = profiles.PROFILES[name]
+    rng = random.Random(3)
+    texts = [h for q in profiles.PROFILES.values() for h, _ in (*q.exact_headers, *q.header_patterns)] + [f.label for q in profiles.PROFILES.values() for v in q.schema.versions for f in v.fields]
+    texts += [" ".join(rng.sample(texts, 2)) for _ in range(60)] + ["", "—", "$", "Compen- sation (a)", "Foo Bar", "?!", "Name", "Title of Class"]
+    tables = [[rng.choice(texts) for _ in range(rng.randint(1, 6))] for _ in range(80)]
+    rows = [(heads, era) for heads in tables for era in (*p.schema.eras(), "other")]
+    reader = R.RoleReader(p)
+    df = spark.createDataFrame(rows, "heads array<string>, era string")
+    roles = R.infer_roles(F.transform("heads", lambda h: h), p, F.col("era"))
+    got = df.select("heads", "era", roles.alias("roles")).withColumn("shown", p.schema.era_of_roles(F.transform("roles", T.base_role))).collect()
+    for r in got:
+        assert r.roles == reader.roles(r.heads, r.era), r
+        assert r.shown == p.schema.era_shown({R.base_of(x) for x in r.roles}), r
+
+
+def test_spans_under_spans():
+    """A cell that reaches below another one, which shows again where that ends; rows shorter than what reaches them."""
+    page = "<table><tr><td rowspan=5>a<td rowspan=2>b<td rowspan=4>c<tr><td colspan=3 rowspan=2>d<tr><td>e<tr><td>f<tr><td>g</table>"
+    assert scan_html.grid(scan_html.parse(page).find_all("table")[0]) == [["a", "b", "c", "", "", ""], ["a", "b", "c", "d", "d", "d"], ["a", "e", "c", "d", "d", "d"], ["a", "f", "c", "", "", ""], ["a", "g", "", "", "", ""]]
+
+
+def test_tables_found_by_a_row_are_told_apart_by_markup():
+    table = "<table><tr><td>Name<td>principal position<tr><td>A<td>1</table>"
+    found = scan_html.candidates(f"<html><body>{table}<p>x</p>{table}{table.replace('<td>A', '<td>B')}", profiles.SUMMARY, True)
+    assert [(t.index, t.by_row) for t in found] == [(0, False), (1, False), (2, False), (0, True), (1, True)]
+
+
+def test_only_tables_that_can_win_are_tabulated():
+    page = "<table><tr><td>menu<td>5,000</table><table><tr><td>Name<td>Salary<tr><td>A<td>1</table>"
+    menu, pay = scan_html.candidates(f"<html><body>{page}", profiles.SUMMARY, False)
+    assert menu.tabulated(profiles.SUMMARY) == [] and pay.tabulated(profiles.SUMMARY) == [["Name", "Salary"], ["A", "1"]]
+
+
+def test_pages_of_many_rows_are_read_in_linear_time():
+    """Twice the rows take about twice the time, not four times."""
+
+    def seconds(n: int) -> float:
+        page = "<html><body><table>" + "<tr><td>Name<td>x y</td></tr>" * n + "</table></body></html>"
+        began = time.process_time()
+        scan_html.candidates(page, profiles.SUMMARY, True)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 3 * seconds(8_000) + 0.2
+
+
 def test_column_repairs():
     table = lambda **c: [assemble.Column(k, k, v) for k, v in c.items()]
     names = lambda cs: [(c.role, c.values) for c in cs]
@@ -264,4 +314,4 @@ def test_sql_functions(spark):
 def test_extraction_has_no_shuffle(spark, capsys):
     extract(filing(spark, STACKED), "sct").explain("formatted")
     plan = capsys.readouterr().out
-    assert "Exchange" not in plan and plan.count("MapInArrow\n") >= 3
+    assert "Exchange" not in plan and plan.count("MapInArrow\n") >= 2
