@@ -77,8 +77,19 @@ def ttl_cache(events: DataFrame, key: str, ts: str, order: str, ttl_s: int = 86_
     return _fold(events, key, ts, order, "hit boolean", lambda: {"put": None}, step)
 
 
-def in_flight(intervals: DataFrame, start: str, end: str, bucket: str) -> DataFrame:
-    """The most intervals open at once in each bucket: a running sum over their ends, ends first at one instant."""
-    ends = intervals.select(bucket, F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("e")).select(bucket, "e.t", "e.d")
-    w = Window.partitionBy(bucket).orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)
-    return ends.withColumn("open", F.sum("d").over(w)).groupBy(bucket).agg(F.max("open").cast("long").alias("peak"))
+def in_flight(intervals: DataFrame, start: str, end: str, bucket: str, slot_s: int = 3600) -> DataFrame:
+    """The most intervals open at once in each bucket, ends first at one instant.
+
+    Time is cut into slots: what opens and closes within a slot is summed first, a running sum over a bucket's slots gives
+    what each begins with, and only a slot's own ends are put in order together; so a busy bucket is many tasks.
+    """
+    time, slot = F.unix_micros(F.col("at").cast("timestamp")), F.col("t").cast("long")
+    ends = intervals.select(F.col(bucket).alias("key"), F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d")))).alias("e"))
+    ends = ends.select("key", "e.at", "e.d").select("key", "d", time.alias("t")).withColumn("slot", F.floor(slot / (slot_s * 1_000_000)))
+    sums = ends.groupBy("key", "slot").agg(F.sum("d").alias("net"))
+    before = F.coalesce(F.sum("net").over(Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begin = sums.select(F.col("key").alias("k"), F.col("slot").alias("s"), before.alias("base"))
+    w = Window.partitionBy("key", "slot").orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)
+    within = ends.withColumn("open", F.sum("d").over(w)).groupBy("key", "slot").agg(F.max("open").alias("open"))
+    peaks = within.join(begin, within["key"].eqNullSafe(F.col("k")) & (within["slot"] == F.col("s")))
+    return peaks.groupBy(F.col("key").alias(bucket)).agg(F.max(F.col("base") + F.col("open")).cast("long").alias("peak"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingloom.functions.text import looks_like_title
+from filingloom.functions.text import decode, looks_like_title
+from filingloom.plans.extract import extract
 from filingloom.profiles import TableProfile, get_profile
+from filingloom.sources.filings import contains_evidence, content_hash
 
 
 def era_bucket(year: Column) -> Column:
@@ -60,11 +65,51 @@ def _used(p: TableProfile) -> list[str]:
     return list(dict.fromkeys([p.identity_role, "is_group", "year", *(r for r, _, _ in p.bounds), *parts]))
 
 
-def outcome(found: Column, evidence: Column, applies: Column, n_problems: Column, n_review: Column) -> Column:
-    """not_applicable, table_absent, missed, implausible, clean or strict."""
+def outcome(found: Column, evidence: Column, applies: Column, n_problems: Column, n_review: Column, readable: Column | None = None, crashed: Column | None = None) -> Column:
+    """unreadable, crashed, not_applicable, table_absent, missed, implausible, clean or strict."""
+    no = F.lit(False)
     return (
-        F.when(~found & ~applies, "not_applicable").when(~found & ~evidence, "table_absent").when(~found, "missed").when(n_problems > 0, "implausible").when(n_review > 0, "clean").otherwise("strict")
-    )
+        F.when(no if readable is None else ~readable, "unreadable").when(no if crashed is None else crashed, "crashed")
+        .when(~found & ~applies, "not_applicable").when(~found & ~evidence, "table_absent").when(~found, "missed").when(n_problems > 0, "implausible").when(n_review > 0, "clean").otherwise("strict")
+    )
+
+
+def manifest(filings: DataFrame, profile: str | TableProfile = "summary_compensation") -> DataFrame:
+    """One row for each filing of a measurement: what it is and what became of it.
+
+    filings: path, filing_date and content, null where it could not be read; further columns stay. A document whose
+    extraction raises is told as crashed and flagged by the exception's name. No shuffle.
+    """
+    p = get_profile(profile)
+    facts = {"sha256": content_hash(F.col("content")), "bytes": F.octet_length("content").cast("long"), "readable": F.col("content").isNotNull(), "evidence": F.coalesce(contains_evidence(decode(F.col("content")), p.name), F.lit(False))}
+    found = problems(extract(filings.withColumns(facts), p, error="raised"), p)
+    crashed = F.col("raised").isNotNull()
+    flags = F.when(~F.col("readable"), F.array().cast("array<string>")).when(crashed, F.array(F.concat(F.lit("exception:"), "raised"))).otherwise(F.col("flags"))
+    result = outcome(F.col("ok"), F.col("evidence"), ~F.array_contains("flags", "predates_mandate"), F.size("problems"), F.size("review_flags"), F.col("readable"), crashed)
+    kept = [c for c in filings.columns if c not in ("content", "filing_date")]
+    return found.select(
+        *kept, "sha256", "bytes", "filing_date", era_bucket(F.year("filing_date")).alias("bucket"), F.col("ok").alias("extracted"), "backend", F.col("era").alias("schema_era"), flags.alias("flags"),
+        F.when(F.col("ok"), F.size("rows")).otherwise(0).cast("long").alias("rows"), result.alias("outcome"), F.when(F.col("ok"), F.col("problems")).otherwise(F.array().cast("array<string>")).alias("problems"), F.array_sort("review_flags").alias("review_flags"),
+    )
+
+
+def counters(filed: DataFrame) -> DataFrame:
+    """(bucket, kind, name, n) of a manifest: filings, outcomes, backends, flags, problems and rows by era and, as ALL,
+    together. Each row becomes a few counts that are summed partially."""
+    kind = "array<struct<kind:string,name:string,n:bigint>>"
+    one = lambda kind, name, n=1: F.struct(F.lit(kind).alias("kind"), name.alias("name"), (n if isinstance(n, Column) else F.lit(n)).alias("n"))
+    each = lambda kind, names: F.transform(names, lambda x: one(kind, x))
+    always = F.array(one("filings", F.lit("filings")), one("outcome", F.col("outcome"))), F.array(one("rows", F.lit("rows"), F.col("rows")))
+    backend = F.filter(F.array(one("backend", F.col("backend"))), lambda x: F.col("extracted") & x["name"].isNotNull())
+    every = F.concat(*(c.cast(kind) for c in (*always, backend, each("flag", F.col("flags")), each("problem", F.col("problems")))))
+    rows = filed.select(F.explode(F.array(F.coalesce("bucket", F.lit("undated")), F.lit("ALL"))).alias("bucket"), every.alias("e"))
+    return rows.select("bucket", F.explode("e").alias("c")).groupBy("bucket", "c.kind", "c.name").agg(F.sum("c.n").alias("n"))
+
+
+def write_manifest(filed: DataFrame, folder: str) -> None:
+    """The manifest as JSON lines and, beside it, the fingerprint of the paths that it covers."""
+    filed.write.mode("overwrite").json(f"{folder}/filings")
+    fingerprint(filed.sparkSession.read.json(f"{folder}/filings"), "path").write.mode("overwrite").json(f"{folder}/fingerprint")
 
 
 def report(outcomes: DataFrame, bucket: str = "bucket", result: str = "outcome") -> DataFrame:
@@ -87,6 +132,19 @@ def top_flags(flags: DataFrame, bucket: str, flag: str, k: int = 6) -> DataFrame
 
 
 def fingerprint(rows: DataFrame, column: str) -> DataFrame:
-    """A digest of a corpus: of its sorted paths. One string by nature; the paths are read once."""
-    joined = F.array_join(F.array_sort(F.collect_list(column)), "|")
-    return rows.agg(F.left(F.sha2(joined.cast("binary"), 256), F.lit(16)).alias("fingerprint"), F.count(F.lit(1)).alias("files"))
+    """A digest of a corpus: of its sorted paths, joined by bars, and their number.
+
+    The digest is sequential by nature: the paths are sorted in parallel, with spilling, and one task reads them in
+    order without holding more than a batch.
+    """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, n = hashlib.sha256(), 0
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                whole.update(b"|" * (n > 0) + path.encode())
+                n += 1
+        yield pa.record_batch([pa.array([whole.hexdigest()[:16]]), pa.array([n], pa.int64())], names=["fingerprint", "files"])
+
+    paths = rows.select(F.col(column).cast("string").alias("path")).where(F.col("path").isNotNull())
+    return paths.orderBy("path").coalesce(1).mapInArrow(digest, "fingerprint string, files bigint")

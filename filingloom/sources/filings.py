@@ -122,6 +122,53 @@ def filing_history(pages: DataFrame, column: str = "json") -> DataFrame:
     return out.withColumn("filing_date", F.to_date(F.try_to_timestamp("filing_date", F.lit("yyyy-MM-dd")))).where(F.col("filing_date").isNotNull() & (F.coalesce("accession", F.lit("")) != ""))
 
 
+def history_pages(pages: DataFrame, column: str = "json", key: str = "cik") -> DataFrame:
+    """The names of further history files that a main file (filings.files) lists: key, name. Files that are no JSON list none."""
+    files = F.from_json(F.col(column), "struct<filings:struct<files:array<struct<name:string>>>>")["filings"]["files"]
+    return pages.select(key, F.explode(files).alias("f")).select(key, "f.name").where(F.coalesce("name", F.lit("")) != "")
+
+
+def full_history(main: DataFrame, files: DataFrame, column: str = "json", key: str = "cik", name: str = "name") -> DataFrame:
+    """Filings of main files (key, json) and of all further files (name, json) that they list; what is missing or broken is passed over."""
+    further = history_pages(main, column, key).distinct().join(files.select(F.col(name).alias("name"), column), "name").select(key, column)
+    return filing_history(main.select(key, column).unionByName(further), column)
+
+
+def ticker_map(rows: DataFrame, order: str, ticker: str = "ticker", cik: str = "cik") -> DataFrame:
+    """(ticker, cik): one row for each ticker in upper case; of several the last in order counts."""
+    return rows.groupBy(F.upper(F.trim(ticker)).alias("ticker")).agg(F.max_by(cik, order).alias("cik"))
+
+
+def resolve_tickers(rows: DataFrame, known: DataFrame, ticker: str = "ticker") -> DataFrame:
+    """``rows`` with cik and is_known, whatever the ticker's case. No hint: Spark broadcasts ``known`` where its size allows."""
+    ids = known.select(F.col("ticker").alias("_ticker"), F.col("cik"))
+    return rows.drop("cik").join(ids, F.upper(F.trim(ticker)) == F.col("_ticker"), "left").withColumn("is_known", F.col("_ticker").isNotNull()).drop("_ticker")
+
+
+def unresolved(rows: DataFrame, known: DataFrame, ticker: str = "ticker") -> DataFrame:
+    """The distinct tickers that are not known, with how many rows ask for each and what to do."""
+    asked = rows.groupBy(F.upper(F.trim(ticker)).alias("ticker")).agg(F.count(F.lit(1)).alias("n"))
+    hint = F.concat(F.lit("no id is known for "), F.coalesce("ticker", F.lit("(null)")), F.lit("; the map holds current tickers only, so give its id"))
+    return asked.join(known, "ticker", "left_anti").withColumn("hint", hint)
+
+
+def list_filings(filings: DataFrame, tickers: list[str] | None = None, forms: list[str] | None = None, years: list[int] | None = None) -> DataFrame:
+    """Filings of some tickers, forms (in either spelling, whatever their case) and years."""
+    out = filings
+    if tickers:
+        out = out.where(F.upper("ticker").isin(*(t.upper() for t in tickers)))
+    if forms:
+        out = out.where(F.lower(F.replace("form", F.lit("_"), F.lit(" "))).isin(*(f.replace("_", " ").lower() for f in forms)))
+    if years:
+        out = out.where(F.year("filing_date").isin(*years))
+    return out
+
+
+def in_order(filings: DataFrame, before: str = "seq") -> DataFrame:
+    """Each filing's place among those of its ticker by date; of one date in the order that they came in."""
+    return filings.withColumn("place", F.row_number().over(Window.partitionBy("ticker").orderBy("filing_date", before)))
+
+
 def valid_user_agent(agent: Column) -> Column:
     """A name and a mail address to reach it by, as the archive asks for."""
     mail = r"[^@\s]+@[^@\s]+\.[^@\s]+"
@@ -178,17 +225,6 @@ def content_hash(content: Column) -> Column:
     return F.left(F.sha2(content.cast("binary"), 256), F.lit(16))
 
 
-def write_cache(filings: DataFrame, root: str) -> None:
-    """Keep documents (ticker, form, token, content, ...) by ticker and form; empty ones are refused. Spark's committer
-    makes each file appear whole or not at all."""
-    keep = filings.where(F.length("content") > 0).withColumn("form", encode_form(F.col("form")))
-    keep.repartition("ticker", "form").write.mode("append").partitionBy("ticker", "form").parquet(root)
-
-
-def read_cache(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(root).withColumn("form", F.replace("form", F.lit("_"), F.lit(" ")))
-
-
 def retry_wait(status: Column, attempt: Column, retry_after: Column, most: int = 4) -> Column:
     """Seconds to wait before a request is tried again, without jitter; null where it is not: done, missing or given up."""
     throttled = status.isin(403, 429) | (status >= 500)

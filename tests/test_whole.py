@@ -32,7 +32,7 @@ def test_full_documents_of_three_line_holders(spark, tmp_path):
 def test_all_documents_are_decoded(spark, tmp_path):
     """Odd ids too, and texts that Latin-1 cannot hold."""
     documents = "SELECT * FROM (VALUES (1::BIGINT, 'caf\u00e9'), (2, 'na\u00efve'), (3, 'price \u20ac 5'), (5, ''), (7, NULL)) v(doc_id, text)"
-    got, want = twins(spark, tmp_path, "decode_all_bytes", documents=documents)
+    got, want = twins(spark, tmp_path, "decode_bytes", documents=documents)
     assert [r[0] for r in want] == [1, 2, 3, 5, 7] and got == want
 
 
