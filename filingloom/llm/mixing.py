@@ -11,7 +11,8 @@ They are written first, and the join has no hint: Spark broadcasts them when the
 sorts and merges, splitting a hot source.
 
 Defined results: a null source is a source of its own; null text counts as empty; sources without characters get rate 0
-unless every text is empty, when rows are counted in place of characters; repeated rows of one id share their count and
+unless every text is empty, when rows are counted in place of characters; a tiny source with a share of its own is
+repeated as often as that share takes, thousands of times if need be, unless ``most_rate`` bounds the mean; repeated rows of one id share their count and
 are all copied; documents drawn 0 times do not appear; an empty table gives no rows.
 """
 
@@ -55,12 +56,13 @@ def _log_factorial(i: Column) -> Column:
 
 
 def mix_sources(
-    docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+    docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_rate: float | None = None
 ) -> DataFrame:
     """All columns of ``docs`` for each copy, with mix_copy (from 1), mix_copies and mix_key before them (in place of such columns of ``docs``).
 
     ``weights``: target shares by source, scaled to a sum of 1; sources that it lacks get none. None: equal shares.
-    ``epochs``: characters of the mixture over characters of the input.
+    ``epochs``: characters of the mixture over characters of the input. ``most_rate``: the most that a source's documents
+    are repeated on average; what a source falls short of its share then is left out of the mixture. None: no bound.
     """
     docs = docs.drop("mix_source", "mix_rate", "mix_copy", "mix_copies", "mix_key")
     chars = F.length(F.coalesce(F.col(text_col), F.lit("")))
@@ -76,7 +78,7 @@ def mix_sources(
     weight = F.when(size > 0, F.col("weight")).otherwise(0.0)
     all_weight = stats.agg(F.sum(weight)).first()[0] or 1.0
     rate = F.when(weight > 0, F.col("weight") / float(all_weight) * float(all_chars or all_rows) * float(epochs) / size).otherwise(0.0)
-    rates = stats.select("mix_source", rate.alias("mix_rate"))
+    rates = stats.select("mix_source", (rate if most_rate is None else F.least(rate, F.lit(float(most_rate)))).alias("mix_rate"))
     drawn = docs.join(rates, docs[source_col].eqNullSafe(F.col("mix_source"))).withColumn("mix_copies", poisson_inverse(uniform(F.lit(seed), docs[id_col]), F.col("mix_rate")))
     copies = drawn.where(F.col("mix_copies") > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
     copies = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), docs[id_col], F.col("mix_copy")))

@@ -152,6 +152,17 @@ def test_conversations(spark, tmp_path):
         assert r.formatted_chars >= len(said)
 
 
+def test_conversations_at_the_edges(spark, tmp_path):
+    """An empty table leaves conversation -7 alone; texts of megabytes of control strings come back whole."""
+    kind = "conv_id long, turn long, role string, text string"
+    empty = save({"conversations": spark.createDataFrame([], kind)}, tmp_path / "none")
+    assert [(r.conv_id, r.n_turns) for r in chat.op4_chat_formatting(spark, empty).collect()] == [(-7, 2)]
+    long = "[INST] \\ </s>é" * 100_000
+    folder = save({"conversations": spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long + "!"), (1, 1, "assistant", long + "!")], kind)}, tmp_path / "long")
+    r = next(r for r in chat.op4_chat_formatting(spark, folder).collect() if r.conv_id == 1)
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (3, 2 * len(long) + 2, hashlib.sha256((long + "!" + long + "!").encode()).hexdigest())
+
+
 def test_reply_trees(spark):
     rng = random.Random(3)
     rows, parent = [], {}
@@ -376,6 +387,13 @@ def test_mixing(spark):
     assert {r.source for r in mixing.mix_sources(df, epochs=200.0).collect()} >= {None, "big"}
 
 
+def test_mixing_with_a_bound(spark):
+    """A source of three characters takes its share in thousands of copies, or in no more than it is allowed to."""
+    docs = [(i, "x" * 100, "en", "big", 1) for i in range(50)] + [(99, "abc", "en", "tiny", 1)]
+    copies = lambda **k: sum(r.source == "tiny" for r in mixing.mix_sources(frame(spark, docs), seed=1, **k).collect())
+    assert 600 < copies() < 1100 and copies(most_rate=4.0) < 20
+
+
 def test_poisson_inverse(spark):
     import math
 

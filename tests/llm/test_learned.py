@@ -220,6 +220,112 @@ def test_toxicity_features():
     assert not toxicity.features("", flags).any()
 
 
+def plain_toxicity(text, lexicon):
+    """The features of a text, told word by word."""
+    squeezed = lambda w: "".join(k for k, _ in itertools.groupby(w))
+    words = text.split()
+    if not words:
+        return [0.0] * len(toxicity.FEATURES)
+    bare = [w.lower().strip(toxicity.EDGES) for w in words]
+    plain = [w.lower().strip(toxicity.SENTENCE).translate(toxicity.LEET).strip(toxicity.EDGES) for w in words]
+    seed, word = [b in toxicity.SEED_WORDS for b in bare], [b in lexicon.words for b in bare]
+    prefix = [any(b[:n] in lexicon.prefixes for n in toxicity.PREFIXES if len(b) >= n) for b in bare]
+    strong = [b in lexicon.strong or any(b[:n] in lexicon.prefixes and b[:n] + "*" in lexicon.strong for n in toxicity.PREFIXES if len(b) >= n) for b in bare]
+    you = [b in toxicity.SECOND_PERSON for b in bare]
+    hit = [any(x) for x in zip(seed, word, prefix, strict=True)]
+    stretched = [any(b[i] == b[i + 1] == b[i + 2] for i in range(len(b) - 2)) for b in bare]
+    known = lambda w: w in toxicity.SEED_WORDS or w in lexicon.words
+    leet = [p != b and any(c.isalpha() for c in b) and any(not c.isalpha() for c in b) for p, b in zip(plain, bare, strict=True)]
+    hidden = [not h and (s and known(squeezed(b)) or (le and known(p))) for h, s, b, le, p in zip(hit, stretched, bare, leet, plain, strict=True)]
+    near = [h and any(you[max(0, i - 5) : i + 6]) for i, h in enumerate(hit)]
+    raw, n = text.encode(), len(words)
+    capitals = sum(65 <= b <= 90 for b in raw)
+    letters = max(1, capitals + sum(97 <= b <= 122 or b >= 192 for b in raw))
+    marks = sum(33 <= b <= 126 and not chr(b).isalnum() for b in raw)
+    counts = [np.log1p(sum(x)) for x in (seed, word, prefix)]
+    shares = lambda *xs: [sum(x) / n for x in xs]
+    return [*shares(seed, word, prefix), *counts, *shares(strong, near, you), capitals / letters, raw.count(b"!") / n, marks / n, *shares(leet, stretched, hidden), np.log1p(n)]
+
+
+def plain_margin(forest, x):
+    total = forest.base
+    for f, t, v in zip(forest.feature, forest.threshold, forest.value, strict=True):
+        node = 0
+        while node < len(f):
+            node = 2 * node + 1 + (x[f[node]] > t[node])
+        total += v[node - len(f)]
+    return total
+
+
+def test_toxicity_scores_equal_a_plain_version(spark):
+    """Features, trees and calibration one document at a time, for the registered query."""
+    source = "/root/testdata/sf0.01"
+    docs, labels = table(spark, source, "documents"), table(spark, source, "labels")
+    model = toxicity.fit_toxicity(docs, labels, toxicity.trained_on(labels))
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.op6_toxicity(spark, source).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        score = float(np.clip(np.interp(plain_margin(model.forest, plain_toxicity(r.text or "", model.lexicon)), model.calibration.x, model.calibration.y), 0, 1))
+        assert got[r.doc_id] == (pytest.approx(score), int(got[r.doc_id][0] >= 0.3)), r.doc_id
+
+
+def plain_rules(text):
+    """The sixteen statistics of a document, told one by one."""
+    text = text or ""
+    n, chars, symbols, dup, repeat = brute_statistics(text)
+    if not n:
+        return [0.0] * len(quality_rules.FEATURES)
+    raw = text.encode()
+    words_ = raw.split()
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    capitals, small = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+    ends = sum(x.strip()[-1:] in (b".", b"!", b"?", b":") for x in lines)
+    return [
+        np.log1p(n), chars / n, symbols / n, dup / len(lines), repeat / n, capitals / max(1, capitals + small), sum(48 <= b <= 57 for b in raw) / max(1, chars), raw.count(b"!") / n, raw.count(b"|") / n, raw.count(b"%") / n,
+        ends / len(lines), n / len(lines), len(set(words_)) / n, (raw.count(b".") + raw.count(b",")) / n, sum(b >= 0xC0 for b in raw) / max(1, chars), np.log1p(max(map(len, words_))),
+    ]
+
+
+def test_rules_verdict_equals_a_plain_version(spark):
+    source = "/root/testdata/sf0.01"
+    docs, labels = table(spark, source, "documents"), table(spark, source, "labels")
+    forest = quality_rules.fit_rules(docs, labels, F.lit(True))
+    got = {r.doc_id: (r.kept, r.score) for r in quality_rules.op7_quality_rules(spark, source).collect()}
+    for r in docs.collect():
+        base = brute_statistics(r.text)
+        score = 1 / (1 + np.exp(-plain_margin(forest, plain_rules(r.text))))
+        failed = base[0] < 20 or 100 * base[4] > 30 * base[0]
+        assert got[r.doc_id] == (not failed and score >= 0.3, pytest.approx(score)), r.doc_id
+
+
+EDGE_DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("case", ["empty", "nulls", "repeated", "unlabelled"])
+def test_pipeline_at_the_edges(spark, tmp_path, case):
+    """Empty tables; nulls in every column; repeated rows and clashing names; labels that teach nothing keep all clean rows."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    docs = {"empty": [], "nulls": [(None, None, None, None, None)] * 3 + corpus(n=12), "repeated": corpus(n=12) * 2, "unlabelled": corpus(n=12)}[case]
+    labels = {"empty": [], "unlabelled": []}.get(case, [(i, i % 2, int(i % 5 == 0)) for i in range(12)] + [(None, None, None)])
+    items = [] if case == "empty" else [(None, None), (1, ""), (2, words(rng, 15))]
+    folder = save({"documents": frame(spark, docs, clash=case == "repeated"), "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame(items, "item_id long, text string")}, tmp_path)
+    start = table(spark, folder, "documents")
+    before = docs_now = start
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs_now = materialise(stage(spark, docs_now, folder), f"test-{name}")
+        assert docs_now.schema.names == start.schema.names and docs_now.count() <= before.count()
+        before = docs_now
+    if case == "unlabelled":
+        kept = corpus_pipeline.toxicity(spark, start, folder)
+        assert kept.count() == start.count()
+    out = corpus_pipeline.run(spark, folder)
+    assert set(start.columns) <= set(out.columns)
+    assert (out.count() == 0) == (case == "empty")
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
