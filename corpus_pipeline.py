@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import materialise, table
+from filingloom.llm.common import discard, materialise, table
 from filingloom.llm.decontaminate import drop_contaminated
 from filingloom.llm.jaccard_join import keep_one
 from filingloom.llm.line_dedup import dedup_lines
@@ -55,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows, from the shared folder; what the stages before it wrote is deleted as soon as it was read."""
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if written is not None:
+            discard(written)
+        written = docs
     return docs
