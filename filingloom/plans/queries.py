@@ -54,8 +54,9 @@ def typed_holders(found: DataFrame) -> DataFrame:
 HOLDERS = """
 SELECT filing_id, s_name AS holder, rn AS pos, shares, (shares * 10000) // total AS pct FROM (
   SELECT *, sum(shares) OVER (PARTITION BY filing_id)::BIGINT AS total, count(*) OVER (PARTITION BY filing_id) AS n FROM (
-    SELECT *, 'N' || lpad(s_nationkey::VARCHAR, 2, '0') || '-' || lpad((rn // 100)::VARCHAR, 4, '0') AS filing_id FROM (
-      SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS rn, round(abs(s_acctbal) * 100)::BIGINT + 1 AS shares FROM supplier))) WHERE n >= 2
+    SELECT *, 'N' || lpad(g::VARCHAR, 2, '0') || '-' || lpad(least(rn // 100, greatest(c - 2, 0) // 100)::VARCHAR, 4, '0') AS filing_id FROM (
+      SELECT *, row_number() OVER (PARTITION BY g ORDER BY s_suppkey) - 1 AS rn, count(*) OVER (PARTITION BY g) AS c, round(abs(s_acctbal) * 100)::BIGINT + 1 AS shares FROM (
+        SELECT *, CASE WHEN count(*) OVER (PARTITION BY s_nationkey) = 1 THEN 99 ELSE s_nationkey END AS g FROM supplier)))) WHERE n >= 2
 """
 PAY = """
 SELECT p_brand AS filing_id, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS person,
@@ -654,7 +655,7 @@ WITH m AS (
 SELECT b AS bucket, kind, name, sum(n)::BIGINT AS n FROM (SELECT unnest([bucket, 'ALL']) AS b, kind, name, n FROM c) GROUP BY ALL""")
 def manifest_counters(spark, sf_dir):
     """Counts of a measurement by era: filings, outcomes, backends, flags and rows."""
-    holders = render.html_holders(render.holders(table(spark, sf_dir, "supplier"))).select(F.col("filing_id").alias("path"), "filing_date", F.encode("text", "UTF-8").alias("content"))
+    holders = render.html_holders(render.holders(table(spark, sf_dir, "supplier"))).select(F.col("filing_id").alias("path"), F.to_date(F.lit("1996-05-01")).alias("filing_date"), F.encode("text", "UTF-8").alias("content"))
     html = F.when(F.col("page_id") % 4 == 1, F.concat("html", F.lit("<p>Percent of Class</p>"))).when(F.col("page_id") % 4 > 1, F.col("html"))
     plain = table(spark, sf_dir, "pages").where(~F.lower("html").rlike("beneficial owner|percent of class|beneficially owned"))
     pages = plain.select(F.col("page_id").cast("string").alias("path"), F.to_date(F.lit("2012-04-01")).alias("filing_date"), F.encode(html, "UTF-8").alias("content"))

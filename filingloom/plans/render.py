@@ -20,11 +20,15 @@ TITLE = "SECURITY OWNERSHIP OF MANAGEMENT"
 def holders(supplier: DataFrame, least: int = 2) -> DataFrame:
     """(filing_id, pos, holder, shares, pct): suppliers as holders, with their share of the document in hundredths of a percent.
 
-    least: rows that a document must have; text windows need two.
+    A nation's suppliers stand in documents of ``ROWS``; one that would be left over alone joins the document before, and
+    the only suppliers of their nations stand together as nation 99. least: rows that a document must have; text windows
+    need two, which only the one lone supplier of a whole table has not.
     """
-    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
-    rows = supplier.withColumn("rn", F.row_number().over(w) - 1).withColumn("shares", F.round(F.abs("s_acctbal") * 100).cast("bigint") + 1)
-    rows = rows.withColumn("filing_id", F.format_string("N%02d-%04d", "s_nationkey", F.floor(F.col("rn") / ROWS)))
+    nation = Window.partitionBy("s_nationkey")
+    rows = supplier.withColumn("g", F.when(F.count(F.lit(1)).over(nation) == 1, F.lit(99)).otherwise(F.col("s_nationkey")))
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("s_suppkey")) - 1).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("g")))
+    rows = rows.withColumn("shares", F.round(F.abs("s_acctbal") * 100).cast("bigint") + 1)
+    rows = rows.withColumn("filing_id", F.format_string("N%02d-%04d", F.col("g").cast("int"), F.expr(f"least(rn div {ROWS}, greatest(of - 2, 0) div {ROWS})")))
     doc = Window.partitionBy("filing_id")
     rows = rows.withColumn("total", F.sum("shares").over(doc)).withColumn("n", F.count(F.lit(1)).over(doc)).where(F.col("n") >= least)
     return rows.select("filing_id", F.col("rn").alias("pos"), F.col("s_name").alias("holder"), "shares", F.expr("shares * 10000 div total").alias("pct"))

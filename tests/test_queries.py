@@ -38,4 +38,4 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).columns and set(entry.oracle_sql()) <= set(entry.queries())
+    assert entry.entry(spark).count() == spark.read.parquet(f"{SF}/supplier.parquet").count() and set(entry.oracle_sql()) <= set(entry.queries())
