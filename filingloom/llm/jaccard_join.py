@@ -84,10 +84,6 @@ def shingles_of(texts: list[bytes], k: int, hasher: WordHash) -> Iterator[np.nda
             begin += n
 
 
-def shingles(text: bytes, k: int, hasher: WordHash) -> np.ndarray:
-    return next(shingles_of([text], k, hasher))
-
-
 def real_shingles(text: bytes, k: int) -> set[bytes]:
     """The set itself; words of a normalised text hold no space."""
     words = text.split(b" ")
@@ -284,7 +280,7 @@ def _prefixes(k: int, percent: int, levels: np.ndarray, key: bytes):
     """doc_id, set digest and size, prefix, mark and compressed text; a task leaves out sets that it has given lately."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, pack, lately = WordHash(key), zstandard.ZstdCompressor(level=9), OrderedDict()
+        hasher, pack, lately = WordHash(key), zstandard.ZstdCompressor(level=3), OrderedDict()
         for batch in slices(batches):
             out: list[list] = [[] for _ in range(6)]
             texts = list(map(normalised, batch.column("data").to_pylist()))
@@ -314,18 +310,21 @@ def _walk(k: int, percent: int, levels: np.ndarray, secret_key: bytes):
         known: OrderedDict[bytes, list[int]] = OrderedDict()
         weight = 0
 
-        def tokens_of(body: bytes) -> list[int]:
+        def learn(bodies: list[bytes]) -> None:
+            """Sets of texts, worked out together; those not used for longest are forgotten."""
             nonlocal weight
-            key = hashlib.md5(body).digest()
-            if key in known:
-                known.move_to_end(key)
-                return known[key]
-            tokens = ordered(shingles(unpack.decompress(body), k, hasher), levels).tolist()
-            known[key] = tokens
-            weight += len(tokens)
+            new = [b for b in dict.fromkeys(bodies) if b not in known]
+            for body, tokens in zip(new, shingles_of([unpack.decompress(b) for b in new], k, hasher), strict=True):
+                known[body] = ordered(tokens, levels).tolist()
+                weight += len(tokens)
             while weight > 1_000_000 and len(known) > 1:
                 weight -= len(known.popitem(last=False)[1])
-            return tokens
+
+        def tokens_of(body: bytes) -> list[int]:
+            if body not in known:
+                learn([body])
+            known.move_to_end(body)
+            return known[body]
 
         def alike(a: bytes, b: bytes) -> bool:
             x, y = (real_shingles(unpack.decompress(body), k) for body in (a, b))
@@ -355,6 +354,7 @@ def _walk(k: int, percent: int, levels: np.ndarray, secret_key: bytes):
         key, members, found = None, {}, []
         for batch in slices(batches):
             columns = [batch.column(c).to_pylist() for c in ("token", "block", "node", "comp", "body")]
+            learn(columns[-1])
             for token, block, node, comp, body in zip(*columns, strict=True):
                 if (token, block) != key:
                     found += links(members)
