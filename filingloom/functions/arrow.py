@@ -5,7 +5,9 @@
 
 from __future__ import annotations
 
+import signal
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,21 +16,38 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StringType, StructField, StructType, _parse_datatype_string
 
 
-def append(df: DataFrame, name: str, kind: str, inputs: list[str], make: Callable, drop: tuple[str, ...] = (), error: str | None = None) -> DataFrame:
+def _within(seconds: float, make: Callable, *row):
+    """``make(*row)``, stopped by a timer of the worker's process."""
+
+    def stop(*_):
+        raise TimeoutError(f"a row took more than {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        return make(*row)
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def append(df: DataFrame, name: str, kind: str, inputs: list[str], make: Callable, drop: tuple[str, ...] = (), error: str | None = None, limit_s: float | None = None) -> DataFrame:
     """``df`` with a column: ``make`` of the input columns' values of each row. Columns in ``drop`` go in but do not come back.
 
     error: a string column that gets the name of what ``make`` raised, the new column being null then; without it a row
-    that fails fails the job. A name that is there already stays.
+    that fails fails the job. A name that is there already stays. limit_s: seconds that one row may take; then it fails
+    with a TimeoutError.
     """
     spark_type: DataType = _parse_datatype_string(kind)
     arrow_type = to_arrow_type(spark_type)
     kept = [f for f in df.schema.fields if f.name not in (name, error, *drop)]
     names = [f.name for f in kept]
     had = error in df.columns
+    timed = make if limit_s is None else partial(_within, limit_s, make)
 
     def guarded(*row):
         try:
-            return make(*row), None
+            return timed(*row), None
         except Exception as e:  # whatever a document brings about is that document's result
             return None, type(e).__name__
 
@@ -36,7 +55,7 @@ def append(df: DataFrame, name: str, kind: str, inputs: list[str], make: Callabl
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in inputs), strict=True)
             if error is None:
-                more = {name: pa.array([make(*row) for row in rows], arrow_type)}
+                more = {name: pa.array([timed(*row) for row in rows], arrow_type)}
             else:
                 made = [guarded(*row) for row in rows]
                 before = batch.column(error).to_pylist() if had else [None] * len(made)

@@ -74,15 +74,15 @@ def outcome(found: Column, evidence: Column, applies: Column, n_problems: Column
     )
 
 
-def manifest(filings: DataFrame, profile: str | TableProfile = "summary_compensation") -> DataFrame:
+def manifest(filings: DataFrame, profile: str | TableProfile = "summary_compensation", limit_s: float | None = None) -> DataFrame:
     """One row for each filing of a measurement: what it is and what became of it.
 
     filings: path, filing_date and content, null where it could not be read; further columns stay. A document whose
-    extraction raises is told as crashed and flagged by the exception's name. No shuffle.
+    extraction raises, or takes longer than limit_s, is told as crashed and flagged by the exception's name. No shuffle.
     """
     p = get_profile(profile)
     facts = {"sha256": content_hash(F.col("content")), "bytes": F.octet_length("content").cast("long"), "readable": F.col("content").isNotNull(), "evidence": F.coalesce(contains_evidence(decode(F.col("content")), p.name), F.lit(False))}
-    found = problems(extract(filings.withColumns(facts), p, error="raised"), p)
+    found = problems(extract(filings.withColumns(facts), p, error="raised", limit_s=limit_s), p)
     crashed = F.col("raised").isNotNull()
     flags = F.when(~F.col("readable"), F.array().cast("array<string>")).when(crashed, F.array(F.concat(F.lit("exception:"), "raised"))).otherwise(F.col("flags"))
     result = outcome(F.col("ok"), F.col("evidence"), ~F.array_contains("flags", "predates_mandate"), F.size("problems"), F.size("review_flags"), F.col("readable"), crashed)

@@ -8,6 +8,7 @@ shuffle from scan to result, so the plan grows with the input and with nothing e
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache, partial
 
 from pyspark.sql import Column, DataFrame
@@ -53,8 +54,8 @@ def _reader(profile: TableProfile) -> RoleReader:
     return RoleReader(profile)
 
 
-def read_table(best: dict | None, era: str, profile: TableProfile, normalize: bool, assemble_rows: bool) -> dict | None:
-    """The chosen candidate as rows under roles."""
+def read_table(best: dict | None, era: str, profile: TableProfile, normalize: bool, into_rows: Callable | None) -> dict | None:
+    """The chosen candidate as rows under roles; into_rows: the assembly, none to leave rows as they are."""
     if best is None:
         return None
     kind, snippet = best["backend"], best["snippet"]
@@ -63,15 +64,15 @@ def read_table(best: dict | None, era: str, profile: TableProfile, normalize: bo
     if not table or not rows:
         return {"failed": not table, "bare": bool(table)}
     seen, roles = _reader(profile).under_shown_era(header, era)
-    return {"failed": False, "bare": False, "seen": seen} | assemble.finish(roles, header, rows, profile, normalize, assemble_rows)
+    return {"failed": False, "bare": False, "seen": seen} | assemble.finish(roles, header, rows, profile, normalize, into_rows)
 
 
-def with_candidates(filings: DataFrame, profile: str | TableProfile = "summary_compensation", error: str | None = None) -> DataFrame:
+def with_candidates(filings: DataFrame, profile: str | TableProfile = "summary_compensation", error: str | None = None, limit_s: float | None = None) -> DataFrame:
     """``filings`` (content or text, filing_date) with ranked in place of their texts: the scored candidates, equal ones at the top collapsed."""
     p = get_profile(profile)
     text = F.col("text") if "text" in filings.columns else decode(F.col("content"))
     df = filings.select(*(c for c in filings.columns if c not in ("content", "text")), F.coalesce(text, F.lit("")).alias("_text")).withColumn("is_text", is_text_filing(F.col("_text")))
-    df = append(df, "_found", f"array<{_struct(CANDIDATE)}>", ["_text", "is_text"], partial(enumerate_candidates, profile=p), drop=("_text",), error=error)
+    df = append(df, "_found", f"array<{_struct(CANDIDATE)}>", ["_text", "is_text"], partial(enumerate_candidates, profile=p), drop=("_text",), error=error, limit_s=limit_s)
     return df.withColumn("_ranked", scored(F.col("_found"), p)).withColumn("ranked", collapsed(F.col("_ranked"))).drop("_found", "_ranked")
 
 
@@ -81,14 +82,15 @@ def candidates(filings: DataFrame, profile: str | TableProfile = "summary_compen
     return df.select(key, (F.col("pos") + 1).alias("rank"), "c.score", "c.of.backend", "c.of.kind", "c.of.index", "c.of.snippet", F.col("c.said").alias("content"))
 
 
-def extract(filings: DataFrame, profile: str | TableProfile = "summary_compensation", *, normalize_numbers: bool = True, assemble_rows: bool = True, error: str | None = None) -> DataFrame:
+def extract(filings: DataFrame, profile: str | TableProfile = "summary_compensation", *, normalize_numbers: bool = True, assemble_rows: bool = True, error: str | None = None, limit_s: float | None = None) -> DataFrame:
     """One row for each filing: its other columns, era, backend, roles, header, rows, flags and how they came about.
 
     filings: filing_date (date), and text (string) or content (binary). error: the name of a column for what a document's
-    extraction raised; without it the first such document fails the job.
+    extraction raised; without it the first such document fails the job. limit_s: seconds that each of the two steps may
+    take for one document.
     """
     p = get_profile(profile)
-    df = with_candidates(filings, p, error)
+    df = with_candidates(filings, p, error, limit_s)
     top = F.try_element_at(F.col("ranked"), F.lit(1))
     df = df.select(
         *[c for c in df.columns if c != "ranked"],
@@ -98,8 +100,8 @@ def extract(filings: DataFrame, profile: str | TableProfile = "summary_compensat
         F.when(top["score"] >= p.min_score, top["of"]).alias("best"),
         p.schema.era_column(F.col("filing_date")).alias("dated_era"),
     ).withColumn("backend", F.col("best.backend"))
-    read = partial(read_table, profile=p, normalize=normalize_numbers, assemble_rows=assemble_rows)
-    df = append(df, "table", _struct(TABLE), ["best", "dated_era"], read, drop=("best",), error=error)
+    read = partial(read_table, profile=p, normalize=normalize_numbers, into_rows=assemble.ASSEMBLIES[p.assembly] if assemble_rows else None)
+    df = append(df, "table", _struct(TABLE), ["best", "dated_era"], read, drop=("best",), error=error, limit_s=limit_s)
     df = df.withColumn("era_from_columns", F.col("table.seen")).withColumn("era", F.coalesce("era_from_columns", "dated_era"))
     return _flagged(df, p, assemble_rows)
 

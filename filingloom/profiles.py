@@ -328,6 +328,16 @@ def available_tables() -> list[str]:
     return sorted(PROFILES)
 
 
+def register_profile(profile: TableProfile, *aliases: str) -> None:
+    """Make a profile known by its name and aliases, beside those that come with the engine."""
+    names = [profile.name.lower(), *(a.lower() for a in aliases)]
+    for n in names:
+        if (PROFILES | ALIASES).get(n, profile) is not profile:
+            raise ValueError(f"a table named {n!r} exists")
+    PROFILES[names[0]] = profile
+    ALIASES.update({a: profile for a in names[1:]})
+
+
 def get_profile(name: str | TableProfile) -> TableProfile:
     if isinstance(name, TableProfile):
         return name

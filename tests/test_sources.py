@@ -1,12 +1,15 @@
 """Sources in two steps, the cache, history files, measurements of a corpus and in-flight counts."""
 
+import dataclasses
 import datetime
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from filingloom.operators import limits, quality
+from filingloom import profiles
+from filingloom.operators import assemble, limits, quality
 from filingloom.plans import extract as E
 from filingloom.sources import archive as A
 from filingloom.sources import filings as S
@@ -66,10 +69,10 @@ def test_history_over_pages(spark):
 def test_manifest_counts_crashes_and_unreadable_files(spark, tmp_path, monkeypatch):
     read = E.read_table
 
-    def failing(best, era, profile, normalize, assemble_rows):
+    def failing(best, era, profile, normalize, into_rows):
         if best and any("crash" in c for row in best["grid"] for c in row):
             raise ZeroDivisionError("told by its name")
-        return read(best, era, profile, normalize, assemble_rows)
+        return read(best, era, profile, normalize, into_rows)
 
     monkeypatch.setattr(E, "read_table", failing)
     rows = [("a", DAY, PAGE.encode()), ("b", DAY, None), ("c", DAY, PAGE.replace("Ann", "crash").encode()), ("d", DAY, b"<html><body>nothing</body></html>"), ("e", DAY, b"<html><body>Name and Principal Position</body></html>"), ("f", None, PAGE.encode())]
@@ -106,3 +109,30 @@ def test_in_flight_over_slots(spark):
     want = {k: max(sum(s <= t < e for kk, s, e in rows if kk == k) for t in range(3000)) for k in ("a", "b", None)}
     for slot in (1, 60, 10_000):
         assert {r.k: r.peak for r in limits.in_flight(df, "s", "e", "k", slot).collect()} == want
+
+
+def test_a_document_that_takes_too_long_is_told(spark, monkeypatch):
+    read = E.read_table
+
+    def slow(best, era, profile, normalize, into_rows):
+        while best and "slow" in str(best["grid"]):
+            pass
+        return read(best, era, profile, normalize, into_rows)
+
+    monkeypatch.setattr(E, "read_table", slow)
+    rows = [("a", DAY, PAGE.encode()), ("b", DAY, PAGE.replace("Ann", "slow").encode())]
+    filed = quality.manifest(spark.createDataFrame(rows, "path string, filing_date date, content binary"), "sct", limit_s=0.5)
+    assert {r.path: (r.outcome, r.flags) for r in filed.collect()} == {"a": ("strict", []), "b": ("crashed", ["exception:TimeoutError"])}
+
+
+def test_profiles_and_assemblies_of_ones_own(spark):
+    """A profile and an assembly that are registered on the driver work on the executors."""
+    assemble.register_assembly("shouting", lambda columns: [dataclasses.replace(c, values=[v.upper() for v in c.values]) for c in columns])
+    own = dataclasses.replace(profiles.SUMMARY, name="shouted_pay", assembly="shouting")
+    profiles.register_profile(own, "shout")
+    r = E.extract(spark.createDataFrame([(DAY, PAGE)], "filing_date date, text string"), "SHOUT").first()
+    assert r.rows[0][0] == "ANN LEE\nPRESIDENT" and "shouted_pay" in profiles.available_tables()
+    for again in (lambda: profiles.register_profile(dataclasses.replace(own), "shout"), lambda: assemble.register_assembly("shouting", lambda columns: columns)):
+        with pytest.raises(ValueError, match="exists"):
+            again()
+    del profiles.PROFILES["shouted_pay"], profiles.ALIASES["shout"], assemble.ASSEMBLIES["shouting"]
