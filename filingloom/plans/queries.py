@@ -279,39 +279,64 @@ def rank_candidates(spark, sf_dir):
     return ranked.select("o_custkey", "o_orderkey", F.col("rank").cast("bigint").alias("rank"), "margin")
 
 
-# --- headers, roles, numbers: expected values are literal
-
-HEADERS = [
-    ("Name and Principal Position", "name and principal position", "name_and_position"), ("Salary ($)", "salary", "salary"), ("Compen- sation", "compensation", "compensation"),
-    ("Total ($)(6)", "total", "total"), ("Option/SARs (#) (b)", "option sars (#", "options_sars"), ("All Other | Compensation", "all other compensation", "all_other_comp"),
-    ("LTIP Payouts", "ltip payouts", "ltip_payouts"), ("$", "", "unknown"), ("—", "—", "unknown"), ("Fiscal\nYear", "fiscal year", "year"), ("Non-Equity Incentive Plan", "non-equity incentive plan", "non_equity_incentive"),
-    ("Favourite Colour!", "favourite colour!", "favourite_colour"), ("Other Annual Compensation", "other annual compensation", "other_annual_comp"), ("Restricted Stock Award(s)", "restricted stock award", "restricted_stock_awards"),
-    ("Stock Awards", "stock awards", "stock_awards"), ("Bonus", "bonus", "bonus"),
-]
-
+# --- headers, roles, numbers
 
 def _values(rows: list[tuple], names: str) -> str:
     cell = lambda v: "NULL" if v is None else str(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'"
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") v({names})"
 
 
-@query(_values([(h, c) for h, c, _ in HEADERS], "header, cleaned"))
+@query("SELECT p_partkey, lower(p_name) AS cleaned FROM part")
 def clean_headers(spark, sf_dir):
-    return spark.createDataFrame([(h,) for h, _, _ in HEADERS], "header string").select("header", T.clean_header(F.col("header")).alias("cleaned"))
+    """Headers out of their dressing: units, footnote marks, lines, rules, words parted at a line's end."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    raw = (
+        F.when(k % 6 == 0, F.concat(name, F.lit(" ($)"))).when(k % 6 == 1, F.concat(name, F.lit(" ("), (k % 90).cast("string"), F.lit(") (a)"))).when(k % 6 == 2, F.replace(name, F.lit(" "), F.lit("\n")))
+        .when(k % 6 == 3, F.concat(F.lit("| "), F.upper(name), F.lit(" /"))).when(k % 6 == 4, F.concat(F.substring(name, 1, 2), F.lit("- "), F.substring(name, 3, 100))).otherwise(F.concat(F.lit(" ("), F.replace(name, F.lit(" "), F.lit("   ")), F.lit(" ( )")))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", T.clean_header(raw).alias("cleaned"))
+
+
+#: Words that headers are put together of, two at a time.
+HEADER_WORDS = (
+    "Name", "and principal", "Position", "Year", "Salary", "Bonus", "Total", "Stock Awards", "Option Awards", "All Other", "LTIP", "Securities Underlying", "Fiscal Year", "Non-Equity Incentive", "Change in Pension",
+    "Restricted Stock", "Other Annual", "Title", "Payouts", "Favourite Colour",
+)
+
+
+def _role_sql(cleaned: str, era: str) -> str:
+    """The role of a cleaned header under an era, from the profile's rules."""
 
+    def first(rules) -> str:
+        return "CASE " + " ".join(f"WHEN regexp_matches({cleaned}, '{'|'.join(patterns)}') THEN '{role}'" for role, patterns in rules) + " END"
 
-@query(_values([(h, r) for h, _, r in HEADERS], "header, role"))
+    fits = {*SUMMARY.schema.roles(era), "name", "position"}
+    return f"coalesce({first([r for r in SUMMARY.rules if r[0] in fits])}, {first(SUMMARY.rules)}, regexp_replace({cleaned}, '[^a-z0-9]+', '_', 'g'))"
+
+
+_WORD = "[" + ", ".join(f"'{w}'" for w in HEADER_WORDS) + "]"
+
+
+@query(f"""
+SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN {_role_sql('h', 'pre2006')} WHEN 1 THEN {_role_sql('h', 'post2006')} ELSE {_role_sql('h', 'transition')} END AS role FROM (
+  SELECT o_orderkey, lower({_WORD}[o_orderkey % 20 + 1] || ' ' || {_WORD}[(o_orderkey // 20) % 20 + 1]) AS h FROM orders)""")
 def infer_roles(spark, sf_dir):
-    """Roles while both versions of the schema may apply."""
-    return spark.createDataFrame([(h,) for h, _, _ in HEADERS], "header string").select("header", R.infer_role(F.col("header"), SUMMARY, F.lit("transition")).alias("role"))
+    """Roles of headers of two phrases each under all three eras."""
+    k, word = F.col("o_orderkey"), F.array(*map(F.lit, HEADER_WORDS))
+    at = lambda i: F.element_at(word, (i % 20 + 1).cast("int"))
+    era = F.when(k % 3 == 0, "pre2006").when(k % 3 == 1, "post2006").otherwise("transition")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(at(k), F.lit(" "), at(F.floor(k / 20))).alias("h"), era.alias("era"))
+    return rows.select("o_orderkey", R.infer_role(F.col("h"), SUMMARY, F.col("era")).alias("role"))
 
 
-@query(_values([(1, "name_and_position,year,salary,salary_2,unknown,unknown,salary_3"), (2, "stock_awards,stock_awards_2,total"), (3, "restricted_stock_awards,ltip_payouts,total")], "id, roles"))
+@query("""
+SELECT o_orderkey, 'name_and_position,' || array_to_string(list_transform(range(1, o_orderkey % 5 + 2), lambda i: CASE WHEN i = 1 THEN 'salary' ELSE 'salary_' || i END), ',') || repeat(',unknown', (o_orderkey % 3)::INT) || ',bonus' AS roles FROM orders""")
 def role_suffixes(spark, sf_dir):
-    """Repeated columns are numbered; a role of another era is taken where nothing else fits."""
-    rows = [(1, "Name and Principal Position;Year;Salary;Salary;$;;Salary", "pre2006"), (2, "Stock Awards;Stock Awards;Total", "post2006"), (3, "Restricted Stock;LTIP;Total", "post2006")]
-    df = spark.createDataFrame(rows, "id int, headers string, era string")
-    return df.select("id", F.array_join(R.infer_roles(F.split("headers", ";"), SUMMARY, F.col("era")), ",").alias("roles"))
+    """Repeated columns are numbered, those without a name are not."""
+    k = F.col("o_orderkey")
+    heads = F.concat(F.array(F.lit("Name and Principal Position")), F.array_repeat(F.lit("Salary ($)"), (k % 5 + 1).cast("int")), F.array_repeat(F.lit("$"), (k % 3).cast("int")), F.array(F.lit("Bonus")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", heads.alias("heads"))
+    return rows.select("o_orderkey", F.array_join(R.infer_roles(F.col("heads"), SUMMARY, F.lit("pre2006")), ",").alias("roles"))
 
 
 OWNED = [
@@ -337,27 +362,33 @@ def normalize_numbers(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.normalize_number(cell).alias("number"))
 
 
-NUMBERS = [(".5%", "5", "0.5"), ("(1) 1,234", "1", "1234"), ("0", "0", "0"), ("", "", ""), ("*", "", ""), ("(12.5)", "-12.5", "-12.5"), ("$-7", "-7", "-7"), ("not applicable", "", ""), ("1,000,000", "1000000", "1000000")]
-
-
-@query(_values(NUMBERS, "cell, as_read, corrected"))
+@query("""
+SELECT o_orderkey, CASE k WHEN 0 THEN d WHEN 1 THEN m WHEN 2 THEN '-' || n || '.' || d WHEN 3 THEN '-' || n WHEN 4 THEN n ELSE '' END AS as_read,
+  CASE k WHEN 0 THEN '0.' || d WHEN 1 THEN n WHEN 2 THEN '-' || n || '.' || d WHEN 3 THEN '-' || n WHEN 4 THEN n ELSE '' END AS corrected
+FROM (SELECT o_orderkey, o_orderkey % 6 AS k, (o_orderkey % 9 + 1)::VARCHAR AS d, (o_orderkey % 20 + 1)::VARCHAR AS m, (o_custkey * 997)::VARCHAR AS n FROM orders)""")
 def number_readings(spark, sf_dir):
-    """The plain reading and the corrected one beside it."""
-    return spark.createDataFrame([(c,) for c, _, _ in NUMBERS], "cell string").select("cell", T.normalize_number(F.col("cell")).alias("as_read"), T.corrected_number(F.col("cell")).alias("corrected"))
-
-
-WHO = [
-    ("Ronald W. Allen", True, False, False, False, False), ("Chief Executive Officer", False, True, False, False, False), ("Sandra Anderson", True, False, False, False, False), ("Avadis Tevanian, Jr. Ph.D", True, False, False, False, False),
-    ("82 Devonshire Street", False, False, False, True, False), ("All directors and executive officers as a group", False, True, True, False, False), ("Includes shares held pursuant to a plan", False, False, False, False, True),
-    ("BlackRock, Inc.", True, False, False, False, False), ("FMR", False, False, False, False, False),
-]
+    """The plain reading and the corrected one beside it, which reads a leading point and steps over a footnote mark."""
+    k, digit, mark = F.col("o_orderkey") % 6, (F.col("o_orderkey") % 9 + 1).cast("string"), (F.col("o_orderkey") % 20 + 1).cast("string")
+    whole = F.format_number(F.col("o_custkey") * 997, 0)
+    cell = (
+        F.when(k == 0, F.concat(F.lit("."), digit, F.lit("%"))).when(k == 1, F.concat(F.lit("("), mark, F.lit(") "), whole)).when(k == 2, F.concat(F.lit("("), whole, F.lit("."), digit, F.lit(")"))).when(k == 3, F.concat(F.lit("$-"), whole))
+        .when(k == 4, whole).otherwise(F.element_at(F.array(*map(F.lit, ("", "*", "not applicable", "N/A", " -- "))), (F.col("o_orderkey") % 5 + 1).cast("int")))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.normalize_number(cell).alias("as_read"), T.corrected_number(cell).alias("corrected"))
 
 
-@query(_values([(w, *map(bool, r)) for w, *r in WHO], "cell, person, title, is_group, address, prose"))
+@query("""
+SELECT p_partkey, k IN (0, 1, 6) AS person, k = 2 AS title, k = 3 AS is_group, k IN (4, 7) AS address, k = 5 AS prose FROM (SELECT p_partkey, p_partkey % 8 AS k FROM part)""")
 def who_is_it(spark, sf_dir):
+    """People, titles, groups, addresses and prose, all of them around a part's name."""
+    k, name = F.col("p_partkey"), F.initcap("p_name")
+    made = (
+        name, F.concat(F.lit("J. "), name, F.lit(", Jr. (a)")), F.concat(F.lit("Vice President, "), name), F.concat(F.lit("All directors with "), F.lower(name)), F.concat(k.cast("string"), F.lit(" Elm Street, "), name),
+        F.concat(name, F.lit(" held pursuant to a plan")), F.concat(name, F.lit(", Ph.D")), F.concat(F.lit("P.O. Box "), k.cast("string")),
+    )
     c = F.col("cell")
-    df = spark.createDataFrame([(w[0],) for w in WHO], "cell string")
-    return df.select("cell", T.looks_like_person(c).alias("person"), T.looks_like_title(c).alias("title"), T.looks_like_group(c).alias("is_group"), T.looks_like_address(c).alias("address"), T.looks_like_prose(c).alias("prose"))
+    df = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*made), (k % 8 + 1).cast("int")).alias("cell"))
+    return df.select("p_partkey", T.looks_like_person(c).alias("person"), T.looks_like_title(c).alias("title"), T.looks_like_group(c).alias("is_group"), T.looks_like_address(c).alias("address"), T.looks_like_prose(c).alias("prose"))
 
 
 # --- schemas
@@ -786,13 +817,18 @@ def retry_waits(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", wait.cast("double").alias("wait"))
 
 
-REQUESTS = [("a@b.com", "brk.b", "2003", None, None), ("ab.com", "X", "2003", None, "email"), ("a@b.com", "1X", "2003", None, "ticker"), ("a@b.com", "X", "20x3", None, "year"), ("a@b.com", "X", "1901", None, "year"), ("a@b.com", "X", " 1999 ", "10-K", "form"), ("a@b.com", "X", "1999", "def 14a", None)]
-
-
-@query(_values(REQUESTS, "email, ticker, year, form, bad"))
+@query("""
+SELECT c_custkey, [NULL, NULL, 'email', 'email', 'ticker', 'ticker', 'year', 'year', 'form', NULL][c_custkey % 10 + 1] AS bad FROM customer""")
 def request_checks(spark, sf_dir):
-    df = spark.createDataFrame([r[:4] for r in REQUESTS], "email string, ticker string, year string, form string")
-    return df.select("*", S.valid_request(*(F.col(c) for c in ("email", "ticker", "year", "form"))).alias("bad"))
+    """Requests, and the first of their fields that cannot be used."""
+    k = F.col("c_custkey")
+    of = lambda default, **other: F.coalesce(*(F.when(k % 10 == int(i[1:]), v) for i, v in other.items()), default)
+    mail = F.concat(F.lit("c"), k.cast("string"), F.lit("@example.com"))
+    email = of(mail, _2=F.replace(mail, F.lit("@"), F.lit("")), _3=F.concat(F.lpad(k.cast("string"), 250, "x"), F.lit("@x.com")))
+    ticker = of(F.concat(F.lit("t"), (k % 1000).cast("string")), _4=k.cast("string"), _5=F.lit("TOOLONGATICKER"), _9=F.lit("brk.b"))
+    year = of((k % 100 + 1994).cast("string"), _6=F.lit("20x3"), _7=F.lit("1901"), _9=F.lit(" 1999 "))
+    form = of(F.lit("DEF 14A"), _1=F.lit("def 14a"), _8=F.lit("10-K"), _9=F.lit(""))
+    return table(spark, sf_dir, "customer").select("c_custkey", S.valid_request(email, ticker, year, form).alias("bad"))
 
 
 @query("""
