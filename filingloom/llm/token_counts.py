@@ -4,13 +4,13 @@ A text is cut into pre-tokens; a pre-token's tokens are the pieces of the vocabu
 the greatest (fewer pieces where sums are equal). The best sum for a prefix depends on that prefix alone, so all
 pre-tokens that begin alike share it: each distinct pre-token is inserted in a trie over bytes whose nodes hold the
 forward scores of their prefixes. Only nodes that are new are computed; a pre-token's last node gives its count, which
-is stored and looked up for all its occurrences. One trie serves a whole task.
+is stored and looked up for all its occurrences. One trie serves a worker, task after task.
 
 The vocabulary is a public file of byte pieces with ranks (none is trained here); a piece's probability follows Zipf's
 law over its rank. Scores are whole millionths, so that sums are exact and the same on every machine. All single bytes
 are pieces, so every text has a segmentation.
 
-A task holds at most ``NODES`` nodes, forgets all beyond that and begins anew; the counts stay exact. A pre-token of more
+A worker holds at most ``NODES`` nodes, forgets all beyond that and begins anew; the counts stay exact. A pre-token of more
 than ``LONG`` bytes is computed in the same way but not stored. Nothing is shuffled.
 
 Defined results: null and empty texts have no tokens; a pre-token of any length is one path; repeated rows are counted
@@ -35,8 +35,8 @@ from filingloom.llm.common import slices, table
 
 #: Runs of letters, digits or other signs with at most one space before them, and runs of white space.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Nodes of a trie, some 200 bytes each, and bytes of a pre-token that is stored in it.
-NODES, LONG = 500_000, 10_000
+#: Nodes of a trie, some 250 bytes each with the counts, and bytes of a pre-token that is stored in it.
+NODES, LONG = 1_000_000, 10_000
 
 
 def default_vocabulary() -> str:
@@ -47,11 +47,18 @@ def default_vocabulary() -> str:
 
 
 class PreTokenTrie:
-    """Forward scores of all prefixes of the pre-tokens inserted, and the counts of the pre-tokens."""
+    """Forward scores of all prefixes of the pre-tokens inserted, and the counts of the pre-tokens.
+
+    A forward score is one whole number: the best sum of log probabilities in its upper digits, less the number of pieces
+    in its lower ``DIGITS`` bits, so that the greatest is the best sum with the fewest pieces.
+    """
+
+    DIGITS = 40
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         norm = math.log(sum(1 / (r + 1) for r in ranks.values()))
         self.score = {p: -round(1e6 * (math.log(r + 1) + norm)) for p, r in ranks.items()}
+        self.weight = {p: (s << self.DIGITS) - 1 for p, s in self.score.items()}
         #: The longest piece that ends with a byte pair.
         self.longest: dict[bytes, int] = {}
         for p in ranks:
@@ -59,32 +66,34 @@ class PreTokenTrie:
         self._begin()
 
     def _begin(self) -> None:
-        #: Child by 256 * node + byte; of each node the best sum and its number of pieces; of each terminal its count.
+        #: Child by 256 * node + byte; of each node the forward score; of each terminal its count.
         self.child: dict[int, int] = {}
-        self.best, self.pieces = [0], [0]
+        self.best = [0]
         self.counts: dict[str, int] = {}
 
-    def _extend(self, data: bytes, best: list[int], pieces: list[int]) -> None:
-        """Add the best sums and numbers of pieces of the prefixes of ``data`` that are longer than those given."""
-        score, longest = self.score.get, self.longest.get
+    def _extend(self, data: bytes, best: list[int]) -> None:
+        """Add the forward scores of the prefixes of ``data`` that are longer than those given."""
+        weight, longest = self.weight.get, self.longest.get
         for end in range(len(best), len(data) + 1):
-            top, n = None, 0
+            top = None
             for begin in range(end - 1, max(0, end - longest(data[max(0, end - 2) : end], 1)) - 1, -1):
-                s = score(data[begin:end])
-                if s is not None:
-                    s += best[begin]
-                    if top is None or s > top or (s == top and pieces[begin] + 1 < n):
-                        top, n = s, pieces[begin] + 1
+                w = weight(data[begin:end])
+                if w is not None:
+                    w += best[begin]
+                    if top is None or w > top:
+                        top = w
             best.append(top)
-            pieces.append(n)
+
+    def _pieces(self, best: int) -> int:
+        return -best & ((1 << self.DIGITS) - 1)
 
     def insert(self, token: str) -> int:
         """The pre-token's count."""
         data = token.encode()
         if len(data) > LONG:
-            best, pieces = [0], [0]
-            self._extend(data, best, pieces)
-            return pieces[-1]
+            best = [0]
+            self._extend(data, best)
+            return self._pieces(best[-1])
         if len(self.best) + len(data) > NODES:
             self._begin()
         child, node, path = self.child.get, 0, [0]
@@ -94,17 +103,15 @@ class PreTokenTrie:
                 break
             path.append(node)
         if (shared := len(path) - 1) < len(data):
-            best, pieces = [self.best[i] for i in path], [self.pieces[i] for i in path]
-            self._extend(data, best, pieces)
-            node = path[-1]
+            best = [self.best[i] for i in path]
+            self._extend(data, best)
+            node, new = path[-1], len(self.best)
             for byte in data[shared:]:
-                below = self.child[node << 8 | byte] = len(self.best)
-                shared += 1
-                self.best.append(best[shared])
-                self.pieces.append(pieces[shared])
-                node = below
-        self.counts[token] = self.pieces[node]
-        return self.pieces[node]
+                self.child[node << 8 | byte] = node = new
+                new += 1
+            self.best += best[shared + 1 :]
+        n = self.counts[token] = self._pieces(self.best[node])
+        return n
 
     def count(self, tokens: list[str]) -> int:
         """Pieces of all pre-tokens of a text."""
@@ -120,12 +127,17 @@ def _ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@functools.lru_cache(maxsize=1)
+def _trie(path: str) -> PreTokenTrie:
+    return PreTokenTrie(_ranks(path))
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str = PATTERN) -> DataFrame:
     """doc_id, n_bytes, n_pretokens, n_tokens of each row. vocabulary: a file that is installed on every machine."""
     path = vocabulary or default_vocabulary()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, cut = PreTokenTrie(_ranks(path)), regex.compile(pattern).findall
+        trie, cut = _trie(path), regex.compile(pattern).findall
         for batch in slices(batches):
             found = []
             for text in batch.column("text").to_pylist():

@@ -119,7 +119,7 @@ def test_prefixes_are_computed_once(monkeypatch):
     """A node for each distinct prefix of all pre-tokens, one step for each node, a count for each terminal."""
     trie, computed = token_counts.PreTokenTrie(RANKS), []
     extend = trie._extend
-    monkeypatch.setattr(trie, "_extend", lambda data, best, pieces: computed.extend(data[:n] for n in range(len(best), len(data) + 1)) or extend(data, best, pieces))
+    monkeypatch.setattr(trie, "_extend", lambda data, best: computed.extend(data[:n] for n in range(len(best), len(data) + 1)) or extend(data, best))
     tokens = ["abc", "abd", "ab", "abcabc", "b", "abd"]
     trie.count(tokens)
     prefixes = {t[:n] for t in tokens for n in range(1, len(t) + 1)}
