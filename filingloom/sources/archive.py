@@ -6,6 +6,7 @@ anything with these two operations; ``ArchiveSource`` serves folder trees of any
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import reduce
 from typing import Protocol
@@ -86,6 +87,12 @@ class HistorySource:
         return read_documents(listing)
 
 
+def default_cache() -> str:
+    """Where documents are cached unless told otherwise: a setting of the environment, its cache folder, or the home's."""
+    base = os.environ.get("XDG_CACHE_HOME") or os.path.join(os.path.expanduser("~"), ".cache")
+    return os.environ.get("FILINGLOOM_CACHE") or os.path.join(base, "filingloom")
+
+
 def write_archive(filings: DataFrame, root: str) -> DataFrame:
     """Keep documents (ticker, form, filing_date, suffix, content, and token or locator) as files that ``scan`` and
     ``ArchiveSource`` read. Each file is written aside and moved into place, so it is there whole or not at all, and

@@ -50,6 +50,17 @@ def test_reading_through_the_cache(spark, tmp_path):
     assert got == {f"t{i}": ("from cache 1", True) if i == 1 else (f"from source {i}", False) for i in range(4)}
 
 
+def test_default_cache(monkeypatch):
+    monkeypatch.setenv("HOME", "/h")
+    for name in ("FILINGLOOM_CACHE", "XDG_CACHE_HOME"):
+        monkeypatch.delenv(name, raising=False)
+    assert A.default_cache() == "/h/.cache/filingloom"
+    monkeypatch.setenv("XDG_CACHE_HOME", "/x")
+    assert A.default_cache() == "/x/filingloom"
+    monkeypatch.setenv("FILINGLOOM_CACHE", "/own")
+    assert A.default_cache() == "/own"
+
+
 def test_history_source_reads_a_mirror(spark, tmp_path):
     (tmp_path / "320193").mkdir()
     (tmp_path / "320193" / "0000320193-97-000001.txt").write_bytes(b"whole submission")
