@@ -665,7 +665,7 @@ def outcome_by_era(spark, sf_dir):
 @query("""
 SELECT page_id, CASE WHEN page_id % 9 > 0 THEN left(sha256(html), 16) END AS sha256, CASE WHEN page_id % 9 > 0 THEN strlen(html) END AS bytes, '2001-2005' AS bucket, 'pre2006' AS schema_era, false AS extracted,
   CASE WHEN page_id % 9 = 0 THEN 'unreadable' WHEN regexp_matches(lower(html), 'principal position|name and principal|name of executive') THEN 'missed' ELSE 'table_absent' END AS outcome,
-  CASE WHEN page_id % 9 > 0 THEN 'no_table_found' ELSE '' END AS flags, 0 AS rows FROM pages""")
+  CASE WHEN page_id % 9 > 0 THEN 'no_table_found' ELSE '' END AS flags, 0::BIGINT AS rows FROM pages""")
 def manifest_pages(spark, sf_dir):
     """What became of each page, some of them unreadable."""
     content = F.when(F.col("page_id") % 9 > 0, F.encode("html", "UTF-8"))
@@ -678,17 +678,18 @@ def manifest_pages(spark, sf_dir):
 WITH m AS (
   SELECT '1994-2000' AS bucket, 'strict' AS outcome, 'dom' AS backend, NULL AS flag, count(*) AS rows FROM ({HOLDERS}) GROUP BY filing_id
   UNION ALL SELECT '2011+', CASE WHEN page_id % 4 = 0 THEN 'unreadable' WHEN page_id % 4 = 1 THEN 'missed' ELSE 'table_absent' END, NULL, CASE WHEN page_id % 4 > 0 THEN 'no_table_found' END, 0 FROM pages
-    WHERE NOT regexp_matches(lower(html), 'beneficial owner|percent of class|beneficially owned')
+    WHERE NOT regexp_matches(lower(html), 'beneficial owner|percent of class|beneficially owned|<table')
 ), c AS (
   SELECT bucket, 'filings' AS kind, 'filings' AS name, 1 AS n FROM m UNION ALL SELECT bucket, 'outcome', outcome, 1 FROM m UNION ALL SELECT bucket, 'rows', 'rows', rows FROM m
   UNION ALL SELECT bucket, 'backend', backend, 1 FROM m WHERE backend IS NOT NULL UNION ALL SELECT bucket, 'flag', flag, 1 FROM m WHERE flag IS NOT NULL
 )
 SELECT b AS bucket, kind, name, sum(n)::BIGINT AS n FROM (SELECT unnest([bucket, 'ALL']) AS b, kind, name, n FROM c) GROUP BY ALL""")
 def manifest_counters(spark, sf_dir):
-    """Counts of a measurement by era: filings, outcomes, backends, flags and rows."""
+    """Counts of a measurement by era: filings, outcomes, backends, flags and rows. Pages with a table of their own, which
+    only extraction could judge, are not part of it."""
     holders = render.html_holders(render.holders(table(spark, sf_dir, "supplier"))).select(F.col("filing_id").alias("path"), F.to_date(F.lit("1996-05-01")).alias("filing_date"), F.encode("text", "UTF-8").alias("content"))
     html = F.when(F.col("page_id") % 4 == 1, F.concat("html", F.lit("<p>Percent of Class</p>"))).when(F.col("page_id") % 4 > 1, F.col("html"))
-    plain = table(spark, sf_dir, "pages").where(~F.lower("html").rlike("beneficial owner|percent of class|beneficially owned"))
+    plain = table(spark, sf_dir, "pages").where(~F.lower("html").rlike("beneficial owner|percent of class|beneficially owned|<table"))
     pages = plain.select(F.col("page_id").cast("string").alias("path"), F.to_date(F.lit("2012-04-01")).alias("filing_date"), F.encode(html, "UTF-8").alias("content"))
     return quality.counters(quality.manifest(holders.unionByName(pages), "ownership"))
 
