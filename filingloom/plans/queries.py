@@ -688,7 +688,7 @@ def manifest_counters(spark, sf_dir):
     """Counts of a measurement by era: filings, outcomes, backends, flags and rows. Pages with a table of their own, which
     only extraction could judge, are not part of it."""
     holders = render.html_holders(render.holders(table(spark, sf_dir, "supplier"))).select(F.col("filing_id").alias("path"), F.to_date(F.lit("1996-05-01")).alias("filing_date"), F.encode("text", "UTF-8").alias("content"))
-    html = F.when(F.col("page_id") % 4 == 1, F.concat("html", F.lit("<p>Percent of Class</p>"))).when(F.col("page_id") % 4 > 1, F.col("html"))
+    html = F.when(F.col("page_id") % 4 == 1, F.concat("html", F.lit("\n\n\n<p>Percent of Class</p>"))).when(F.col("page_id") % 4 > 1, F.col("html"))
     plain = table(spark, sf_dir, "pages").where(~F.lower("html").rlike("beneficial owner|percent of class|beneficially owned|<table"))
     pages = plain.select(F.col("page_id").cast("string").alias("path"), F.to_date(F.lit("2012-04-01")).alias("filing_date"), F.encode(html, "UTF-8").alias("content"))
     return quality.counters(quality.manifest(holders.unionByName(pages), "ownership"))
