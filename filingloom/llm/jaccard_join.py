@@ -280,7 +280,7 @@ def _prefixes(k: int, percent: int, levels: np.ndarray, key: bytes):
     """doc_id, set digest and size, prefix, mark and compressed text; a task leaves out sets that it has given lately."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, pack, lately = WordHash(key), zstandard.ZstdCompressor(level=3), OrderedDict()
+        hasher, pack, lately = WordHash(key), zstandard.ZstdCompressor(level=5), OrderedDict()
         for batch in slices(batches):
             out: list[list] = [[] for _ in range(6)]
             texts = list(map(normalised, batch.column("data").to_pylist()))
@@ -303,7 +303,7 @@ def _prefixes(k: int, percent: int, levels: np.ndarray, key: bytes):
 
 
 def _walk(k: int, percent: int, levels: np.ndarray, secret_key: bytes):
-    """Links between the members of each meeting; rows come sorted by (token, block)."""
+    """Links between the members of each meeting; rows come sorted by (lead, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, unpack, sets = WordHash(secret_key), zstandard.ZstdDecompressor(), Sets()
@@ -351,20 +351,30 @@ def _walk(k: int, percent: int, levels: np.ndarray, secret_key: bytes):
                 tree.add(tokens, i, find)
             return found
 
-        key, members, found = None, {}, []
+        def met(rows: list[tuple]) -> list[tuple[int, int]]:
+            """Links of all meetings among rows (node, comp, tokens, body) of one lead and block, meeting by meeting."""
+            by_token: dict[int, dict[tuple[int, bytes], int]] = {}
+            for node, comp, tokens, body in rows:
+                for token in tokens:
+                    by_token.setdefault(token, {})[node, body] = comp
+            return [link for token in sorted(by_token) for link in links(by_token[token])]
+
+        def give(found: list) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+        key, rows, found = None, [], []
         for batch in slices(batches):
-            columns = [batch.column(c).to_pylist() for c in ("token", "block", "node", "comp", "body")]
+            columns = [batch.column(c).to_pylist() for c in ("lead", "block", "node", "comp", "tokens", "body")]
             learn(columns[-1])
-            for token, block, node, comp, body in zip(*columns, strict=True):
-                if (token, block) != key:
-                    found += links(members)
-                    key, members = (token, block), {}
-                members[node, body] = comp
+            for lead, block, *row in zip(*columns, strict=True):
+                if (lead, block) != key:
+                    found += met(rows)
+                    key, rows = (lead, block), []
+                rows.append(row)
             if len(found) > 10_000:
-                yield pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+                yield give(found)
                 found = []
-        found += links(members)
-        yield pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+        yield give(found + met(rows))
 
     return run
 
@@ -429,20 +439,21 @@ def _blocks(meetings: DataFrame, pairs: bool) -> DataFrame:
     return meetings.select("lead", "token", F.explode(F.when(n == 1, F.array(F.lit(0).cast("long"))).otherwise(both)).alias("block"), "node", "comp")
 
 
-def _dealt(meetings: DataFrame, given: DataFrame, by: str, *columns: str) -> DataFrame:
-    """Meetings with columns of their nodes, each meeting in one task and in order.
-
-    by lead: meetings with the same smallest node go to one task, and what one of them has joined, the others need not
-    look at; by token: each goes where it falls.
-    """
-    own = given.select("node", *columns).join(meetings.select("node").distinct(), "node", "left_semi")
-    return meetings.join(own, "node").select("lead", "token", "block", "node", "comp", *columns).repartition(by, "block").sortWithinPartitions(by, "block", "token", "node")
+def _with(given: DataFrame, meetings: DataFrame, *columns: str) -> DataFrame:
+    """Columns of the nodes that meet."""
+    return given.select("node", *columns).join(meetings.select("node").distinct(), "node", "left_semi")
 
 
 def _links(meetings: DataFrame, given: DataFrame, walk, pairs: bool) -> DataFrame:
-    """Verified links among the members of each meeting (token, node, comp)."""
+    """Verified links among the members of each meeting (token, node, comp).
+
+    Meetings with the same smallest node (lead) go to one task, where what one of them has joined, the others need not
+    look at; a node's text goes there once, with all the tokens by which it meets.
+    """
     meetings = materialise(_blocks(meetings, pairs), "jaccard-meetings")
-    links = materialise(_dealt(meetings, given, "lead", "body").mapInArrow(walk, "a bigint, b bigint"), "jaccard-links")
+    rows = meetings.groupBy("lead", "block", "node", "comp").agg(F.collect_list("token").alias("tokens"))
+    dealt = rows.join(_with(given, meetings, "body"), "node").repartition("lead", "block").sortWithinPartitions("lead", "block", "node")
+    links = materialise(dealt.mapInArrow(walk, "a bigint, b bigint"), "jaccard-links")
     discard(meetings)
     return links
 
@@ -481,7 +492,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = components(links)
     second = every.join(labels, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
     meetings = materialise(_blocks(second, True), "jaccard-meetings")
-    pairs = materialise(_dealt(meetings, given, "token", "n", "mark").mapInArrow(_pairs(percent), "a bigint, b bigint").distinct(), "jaccard-pairs")
+    dealt = meetings.join(_with(given, meetings, "n", "mark"), "node").repartition("token", "block").sortWithinPartitions("token", "block", "node")
+    pairs = materialise(dealt.mapInArrow(_pairs(percent), "a bigint, b bigint").distinct(), "jaccard-pairs")
     discard(meetings, every)
     # Those that may link with a node meet at it.
     third = pairs.select(F.col("a").alias("token"), F.col("b").alias("node")).unionByName(pairs.select(F.col("a").alias("token"), F.col("a").alias("node")).distinct())
