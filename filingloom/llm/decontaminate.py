@@ -30,7 +30,7 @@ from filingloom.llm.common import byte_table, discard, materialise, merged, slic
 
 WINDOW = 10
 #: Windows of a block, some 2 KB each with their tables, and bytes of text that go through several blocks together.
-BLOCK, CHUNK = 50_000, 16 << 20
+BLOCK, CHUNK = 50_000, 64 << 20
 WORDS = byte_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 
 

@@ -47,11 +47,11 @@ _LOW = np.uint64(0xFFFFFF)
 
 
 class Windows:
-    """Hashes of all windows of ``k`` bytes of a buffer; equal windows have equal hashes."""
+    """Hashes of all windows of ``k`` bytes of a buffer of at most SEGMENT + ``seen`` bytes; equal windows have equal hashes."""
 
-    def __init__(self, k: int) -> None:
-        self.k = k
-        power, inverse = (np.full(SEGMENT + (1 << 16), base, np.uint64) for base in (RollingHash.BASE, pow(RollingHash.BASE, -1, 1 << 64)))
+    def __init__(self, seen: int, spread: int) -> None:
+        self.k = seen - spread + 1
+        power, inverse = (np.full(SEGMENT + seen, base, np.uint64) for base in (RollingHash.BASE, pow(RollingHash.BASE, -1, 1 << 64)))
         power[0] = inverse[0] = 1
         self.power, self.inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
 
@@ -193,7 +193,7 @@ def _anchors(seen: int, spread: int):
     """How often each anchor stands, summed within a group of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(seen - spread + 1)
+        windows = Windows(seen, spread)
         for batch in _groups(batches):
             if parts := [part[0] for part in runs(batch.column("data").to_pylist(), seen, spread, windows)]:
                 anchor, n = np.unique(np.concatenate(parts), return_counts=True)
@@ -206,7 +206,7 @@ def _survey(match: int, seen: int, spread: int, key: bytes):
     """A row for each run: anchor, digest of its text, doc_id, tag, first start and how many more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(seen - spread + 1)
+        windows = Windows(seen, spread)
         for batch in _groups(batches):
             texts = batch.column("data").to_pylist()
             parts = list(runs(texts, seen, spread, windows))
@@ -437,7 +437,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lie in such strings. spread: how many starts may share an anchor; it changes the cost only.
     """
     seen = min(match, SEEN) if seen is None else seen
-    spread = min(SPREAD, seen // 2) if spread is None else spread
+    spread = max(1, min(SPREAD, seen // 2)) if spread is None else spread
     rows, key = _keyed(docs, id_col, text_col), secret()
     kind = dict(rows.dtypes)["doc_id"]
     spans = repeated_spans(rows, key, match, seen, spread).withColumnsRenamed({"doc_id": "id2", "tag": "tag2"})
