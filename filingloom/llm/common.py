@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Gives freed memory back, where the C library can.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -183,11 +186,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def slices(batches, rows: int = 256) -> Iterator:
-    """Arrow batches in parts of a few rows, so that few texts are Python objects at a time."""
+    """Arrow batches in parts of a few rows, so that few texts are Python objects at a time. At the end of a task its
+    memory goes back to the machine, since the worker stays for other stages."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
     pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int, seed: int = 0) -> DataFrame:

@@ -44,8 +44,8 @@ from filingloom.llm.components import components
 
 CELLS, STRIP = 1 << 18, 256
 FIRST, GROUP = 6, 1000
-#: Bytes of texts that are hashed together.
-GROUPED = 4 << 20
+#: Bytes of texts that are hashed together, and shingles of texts that a walk remembers.
+GROUPED, KNOWN = 4 << 20, 600_000
 HASH_BITS = np.uint64((1 << 58) - 1)
 WORDS = byte_table(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 
@@ -317,7 +317,7 @@ def _walk(k: int, percent: int, levels: np.ndarray, secret_key: bytes):
             for body, tokens in zip(new, shingles_of([unpack.decompress(b) for b in new], k, hasher), strict=True):
                 known[body] = ordered(tokens, levels).tolist()
                 weight += len(tokens)
-            while weight > 1_000_000 and len(known) > 1:
+            while weight > KNOWN and len(known) > 1:
                 weight -= len(known.popitem(last=False)[1])
 
         def tokens_of(body: bytes) -> list[int]:
