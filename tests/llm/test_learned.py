@@ -299,9 +299,6 @@ def test_rules_verdict_equals_a_plain_version(spark):
         assert got[r.doc_id] == (not failed and score >= 0.3, pytest.approx(score)), r.doc_id
 
 
-EDGE_DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-
-
 @pytest.mark.parametrize("case", ["empty", "nulls", "repeated", "unlabelled"])
 def test_pipeline_at_the_edges(spark, tmp_path, case):
     """Empty tables; nulls in every column; repeated rows and clashing names; labels that teach nothing keep all clean rows."""
