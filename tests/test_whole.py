@@ -57,6 +57,13 @@ def test_holders_where_rows_come_out(spark, tmp_path, name):
     assert want and got == want
 
 
+def test_part_keys_longer_than_house_numbers(spark, tmp_path):
+    """Keys of six, seven and ten digits, all kinds of cell among each."""
+    part = "SELECT p_partkey + first AS p_partkey, p_name FROM '/root/testdata/sf0.001/part.parquet', (SELECT unnest([999900, 1199800, 5000000000]) AS first)"
+    got, want = twins(spark, tmp_path, "who_is_it", part=part)
+    assert len(want) == 600 and got == want
+
+
 def test_large_plain_tables_are_kept(monkeypatch):
     """Only places that spans add are bounded."""
     monkeypatch.setattr(scan_html, "MOST_CELLS", 50)
